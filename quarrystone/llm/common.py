@@ -55,6 +55,13 @@ def without(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFra
     return docs.join(small_side(gone), F.col(key) == F.col("__gone"), "left_anti")
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Give Python workers at most `rows` rows at a time: long texts would make batches of the default size large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def binary_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column without making Python objects; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

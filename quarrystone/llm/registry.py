@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from quarrystone.llm import exact_dedup
+from quarrystone.llm import exact_dedup, packing
 
-QUERIES = {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
+QUERIES = {"op1_exact_dedup": exact_dedup.op1_exact_dedup, "op7_best_fit_packing": packing.op7_best_fit_packing}
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL}
