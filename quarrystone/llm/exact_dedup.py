@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from quarrystone.llm.common import binary_buffers, read_table, slices, stored, text_of
+from quarrystone.llm.common import binary_buffers, read_table, slices, small_batches, stored, text_of
 
 LEAST, MEAN_BITS, MOST = 256, 10, 16384
 
@@ -30,11 +30,11 @@ def cut_points(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         part = raw[offsets[lo] : offsets[hi]]
         at = np.zeros(0, np.int64)
         if len(part) > 8:
-            words = np.lib.stride_tricks.as_strided(part, (len(part) - 7, 8), (1, 1)).copy().view("<u8").ravel()
-            hashed = words * np.uint64(0x9E3779B97F4A7C15)
-            hashed ^= hashed >> np.uint64(29)
-            hashed *= np.uint64(0xBF58476D1CE4E5B9)
-            at = np.flatnonzero(hashed >> np.uint64(64 - MEAN_BITS) == 0) + 8 + offsets[lo]
+            marks = np.zeros(len(part) + 1, bool)
+            for k in range(8):  # all windows that begin at k, k + 8, ...
+                words = part[k : k + (len(part) - k) // 8 * 8].view("<u8")
+                marks[k + 8 :: 8][: len(words)] = words * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - MEAN_BITS) == 0
+            at = np.flatnonzero(marks) + offsets[lo]
         for i in range(lo, hi):
             a, b = int(offsets[i]), int(offsets[i + 1])
             cuts, last = [0], 0
@@ -61,7 +61,8 @@ def chunk_starts(texts: pd.Series) -> pd.Series:
 
 
 def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.encode(text_of(text_col), "UTF-8").alias("raw"))
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).cast("binary").alias("raw"))
     rows = rows.withColumn("starts", chunk_starts("raw"))
     piece = lambda s, i: F.substring(F.col("raw"), s + 1, F.coalesce(F.get(F.col("starts"), i + 1), F.octet_length("raw")) - s)
     return rows.withColumn("chunks", F.transform("starts", piece))
