@@ -1,6 +1,12 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from quarrystone.llm import exact_dedup, packing
+from quarrystone.llm import exact_dedup, language, packing, pii, warc
 
-QUERIES = {"op1_exact_dedup": exact_dedup.op1_exact_dedup, "op7_best_fit_packing": packing.op7_best_fit_packing}
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL}
+QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_pii": pii.op2_pii,
+    "op3_language": language.op3_language,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op10_warc": warc.op10_warc,
+}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
