@@ -1,11 +1,12 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from quarrystone.llm import exact_dedup, language, packing, pii, warc
+from quarrystone.llm import exact_dedup, language, packing, pii, secrets, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_pii": pii.op2_pii,
     "op3_language": language.op3_language,
+    "op4_secrets": secrets.op4_secrets,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op10_warc": warc.op10_warc,
 }

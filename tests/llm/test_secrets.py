@@ -1,0 +1,54 @@
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+from quarrystone.llm import secrets
+from pyspark.sql import functions as F
+
+SCHEMA = "text string, doc_id long, spans string"
+
+
+def brute_base(text):
+    ranks = {"assign": 0, "access": 1, "hex": 2}
+    found = [(m.start(), "assign", m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 8]
+    found += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found, key=lambda x: (x[0], ranks[x[1]]))
+
+
+def entropy(word, window=20):
+    best = 0.0
+    for k in range(len(word) - window + 1):
+        c = Counter(word[k : k + window])
+        best = max(best, -sum(n / window * math.log2(n / window) for n in c.values()))
+    return best
+
+
+def test_entropy_against_brute_force(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices(rng.choice(["ab", "0123456789abcdef", "aZ09+/_=-xyzQRST"]), k=rng.randint(1, 70))) for _ in range(60)]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", secrets.best_entropy(F.col("w")).alias("h")).collect()
+    for r in rows:
+        assert abs(r.h - entropy(r.w)) < 1e-9
+
+
+def test_operator(spark):
+    rng = random.Random(9)
+    secret = "zX9kQ2mVb7Lp4TnW8rYc3HdJ"
+    bits = ["password", "Token", "API_key", "apikey", "secret", '"', "'", " ", ":", "=", "abc", "deadbeef" * 4, "0" * 40, "AKIA", "ABCDEFGH1234", "é", "😀", "\x01", "\x02", "\n", "x.y/z-1", "12345678", secret, "$1", "\\"]
+    rows = [("".join(rng.choices(bits, k=rng.randint(0, 12))), i, "clash") for i in range(600)]
+    rows += [(None, 1000, None), ("", 1001, None), ("the of " * 30_000 + "key " + secret, 1002, None), (rows[0][0], 0, "again"), ("550e8400-e29b-41d4-a716-446655440000 internationalization_of_words_and_more " + "ab" * 20, 1003, None), (secret, None, None)]
+    out = secrets.find_secrets(spark.createDataFrame(rows, SCHEMA).repartition(2)).collect()
+    assert len(out) == len(rows)
+    text = {d: t or "" for t, d, _ in rows}
+    for r in out:
+        base = brute_base(text[r.doc_id])
+        said = ",".join(f"{k}:{a}:{b}" for a, k, b in base)
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest(), text[r.doc_id]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == k for x in base) for k in ("assign", "access", "hex"))
+        assert set(filter(None, said.split(","))) <= set(r.spans.split(","))
+    by = {r.doc_id: r for r in out}
+    assert by[None].spans == f"entropy:0:{len(secret)}" and by[1002].n_entropy == 1 and by[1003].n_entropy == 0
+    assert secrets.find_secrets(spark.createDataFrame([], SCHEMA)).count() == 0
