@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from quarrystone.llm import exact_dedup, language, packing, pii, secrets, warc
+from quarrystone.llm import exact_dedup, language, licenses, packing, pii, secrets, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_language": language.op3_language,
     "op4_secrets": secrets.op4_secrets,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_licenses": licenses.op8_licenses,
     "op10_warc": warc.op10_warc,
 }
 ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
