@@ -1,14 +1,16 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from quarrystone.llm import exact_dedup, language, licenses, packing, pii, secrets, warc
+from quarrystone.llm import decontaminate, exact_dedup, language, licenses, packing, pii, secrets, urls, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op2_pii": pii.op2_pii,
     "op3_language": language.op3_language,
     "op4_secrets": secrets.op4_secrets,
+    "op5_url_filter": urls.op5_url_filter,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_licenses": licenses.op8_licenses,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_warc": warc.op10_warc,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op5_url_filter": urls.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
