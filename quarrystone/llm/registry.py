@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from quarrystone.llm import decontaminate, exact_dedup, language, licenses, packing, pii, secrets, urls, warc
+from quarrystone.llm import decontaminate, exact_dedup, language, licenses, near_dups, packing, pii, secrets, urls, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -8,9 +8,10 @@ QUERIES = {
     "op3_language": language.op3_language,
     "op4_secrets": secrets.op4_secrets,
     "op5_url_filter": urls.op5_url_filter,
+    "op6_jaccard_join": near_dups.op6_jaccard_join,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_licenses": licenses.op8_licenses,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_warc": warc.op10_warc,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op5_url_filter": urls.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
+ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op5_url_filter": urls.ORACLE_SQL, "op6_jaccard_join": near_dups.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
