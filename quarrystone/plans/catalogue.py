@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrystone.plans import curation  # noqa: F401
+from quarrystone.plans import curation, metrics, sequences  # noqa: F401
 from quarrystone.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
