@@ -41,10 +41,10 @@ def literal_kind(text: Column) -> Column:
 
 
 def human_size(size: Column) -> Column:
-    """'%.1f' with a unit, base 1024."""
+    """One decimal (halves to even) with a unit, base 1024."""
     value, out = size.cast("double"), None
     for k, unit in enumerate(["", "K", "M", "G", "T", "P", "E", "Z"]):
-        said = F.format_string(f"%.1f {unit}B", value / 1024.0**k)
+        said = F.format_string(f"%.1f {unit}B", F.bround(value / 1024.0**k, 1))
         small = F.abs(value) < 1024.0 ** (k + 1)
         out = F.when(small, said) if out is None else out.when(small, said)
     return out.otherwise(F.format_string("%.1f YB", value / 1024.0**8))
