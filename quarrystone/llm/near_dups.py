@@ -14,9 +14,12 @@ Pigeonhole join. All sets order their blocks alike, by a function of the block's
 rarer), and keep the first D + 1: of the agreeing blocks one at least is kept by both. A key stands for (band, block,
 content); its content is the XOR of its shingles' hashes, a linear code of the bit vector.
 Candidates. Classes that share a key are compared with the key's smallest class first, so that a group of thousands of near
-copies costs a pair each; only pairs that this leaves in different components are compared further, key by
-key, until none is left. A 1024-bit parity sketch whose Hamming distance exceeds the bound drops a pair; what remains is
-verified on the sets.
+copies costs a pair each. Keys that this leaves with several components: where all but `small_group` members
+are in one, the others meet all members. Members of the rest, keys that many unlike documents share, are sketched again
+with more blocks than the bound asks for; a set then shares many blocks with each similar set and may leave out common ones, as
+long as they are fewer than those to spare. Sets with more common blocks than that meet member by member, until
+none is left in another component that it hasn't met. A parity sketch of at least two bits a shingle, whose
+Hamming distance exceeds the bound, drops a pair; what remains is verified on the sets.
 
 Cases: null, empty and word-less texts have no shingles and link with nothing; fewer than five words give one shingle, the
 whole sequence; a null id is no component's name (its own row then has a null one, unless linked); repeated rows are in
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.llm.common import binary_buffers, mix64, read_table, slices, small_batches, small_side, stored, text_of
 
-SHINGLE, SKETCH_WORDS, SMALL_GROUP = 5, 16, 32
+SHINGLE, SMALL_GROUP, SPARE, WIDE_SPARE = 5, 32, 0.5, 1.0
 U, MASK = np.uint64, (1 << 64) - 1
 
 
@@ -103,36 +106,57 @@ def class_id(grams: np.ndarray) -> int:
 
 
 def sketch(grams: np.ndarray) -> np.ndarray:
-    """Parity bits: each shingle flips one of 64 * SKETCH_WORDS."""
-    bits = np.bincount((mix64(grams ^ U(0x1234567)) >> U(54)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    """Parity bits: each shingle flips one of w, the power of two from 2n up (256 at least). Half as wide, it is its halves' XOR."""
+    width = max(256, 1 << (2 * len(grams) - 1).bit_length())
+    bits = np.bincount((mix64(grams ^ U(0x1234567)) & U(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def keys_of(grams: np.ndarray) -> np.ndarray:
-    """Keys of the set for its own band and for the one below."""
-    n, out = len(grams), []
+def band_blocks(grams: np.ndarray, spare: float):
+    """For the set's own band and for the one below: (bound, blocks in all, keys of the blocks in use, their bits).
+
+    There are bound + 1 blocks, and a `spare` share of that more."""
+    n = len(grams)
     own = int(np.searchsorted(BANDS, n, side="right")) - 1
     for band in range(max(0, own - 1), own + 1):
         top = int(BANDS[band + 1]) - 1
         if band < own and n * 3 > top * 4:
             continue
         bound = top // 3
-        blocks = bound + 1 + (bound + 1) // 2
-        salted = mix64(grams + U(0x9E3779B97F4A7C15 * (band + 1) & MASK))
+        blocks = bound + 1 + int((bound + 1) * spare)
+        salted = mix64(grams + U((0x9E3779B97F4A7C15 * (band + 1) + blocks) & MASK))
         block = (salted >> U(32)).astype(np.int64) * blocks >> 32
         order = np.argsort(block, kind="stable")
         block, code = block[order], mix64(salted[order] ^ U(0xC0FFEE))
         begins = np.flatnonzero(np.diff(block, prepend=-1))
         content = np.bitwise_xor.reduceat(code, begins)
-        bits = np.diff(np.append(begins, n))
-        full = np.zeros(blocks, np.int64)
-        key = mix64(U(0xD1B54A32D192ED03 * (band + 1) & MASK) + np.arange(blocks, dtype=U) * U(0x9E3779B97F4A7C15))
-        key[block[begins]] = mix64(key[block[begins]] ^ content)
-        full[block[begins]] = bits
-        out.append(key[np.lexsort((key, -full))[: bound + 1]])
+        place = mix64(U(0xD1B54A32D192ED03 * (band + 1) & MASK) + (block[begins].astype(U) + U(blocks << 32)) * U(0x9E3779B97F4A7C15))
+        yield bound, blocks, mix64(place ^ content), np.diff(np.append(begins, n)), mix64(U(0xD1B54A32D192ED03 * (band + 1) & MASK) + (np.arange(blocks, dtype=U) + U(blocks << 32)) * U(0x9E3779B97F4A7C15)), block[begins]
+
+
+def keys_of(grams: np.ndarray, spare: float = SPARE) -> np.ndarray:
+    """The first bound + 1 blocks in the common order: more bits first, then by key."""
+    out = []
+    for bound, blocks, keys, bits, empty, used in band_blocks(grams, spare):
+        if len(keys) <= bound:  # empty blocks are keys too, the last in order
+            rest = np.sort(np.delete(empty, used))[: bound + 1 - len(keys)]
+            out.append(np.concatenate([keys, rest]))
+        else:
+            out.append(keys[np.lexsort((keys, -bits))[: bound + 1]])
     return np.concatenate(out).view(np.int64)
 
 
+def wide_keys(grams: np.ndarray, spare: float = WIDE_SPARE) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, slack) of all blocks in use: a set that drops fewer than `slack` of a band's keys still shares one with each similar set.
+
+    Of the blocks, at least (blocks - bound) agree; those that are empty may be among them."""
+    keys, slack = [], []
+    for bound, blocks, own, _, _, _ in band_blocks(grams, spare):
+        keys.append(own)
+        slack.append(np.full(len(own), blocks - bound - (blocks - len(own))))
+    return np.concatenate(keys).view(np.int64), np.concatenate(slack)
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).cast("binary").alias("raw"))
@@ -188,6 +212,19 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return _sets(docs, id_col, text_col).mapInArrow(emit, "key long, cls long")
 
 
+def wide_keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(key, cls, slack) of all blocks in use, in a sketch with more blocks."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _each(batches):
+            found = [(class_id(g), *wide_keys(g)) for _, g in rows if len(g)]
+            if found:
+                names = np.concatenate([np.full(len(k), c) for c, k, _ in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for _, k, _ in found])), pa.array(names), pa.array(np.concatenate([s for *_, s in found]))], ["key", "cls", "slack"])
+
+    return _sets(docs, id_col, text_col).mapInArrow(emit, "key long, cls long, slack long")
+
+
 def sets_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(cls, grams) of every row with shingles."""
 
@@ -204,8 +241,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
     """The pairs (a, b) of classes that link: bounded by size and sketch, then by their sets."""
     side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("rep").alias(f"rep{x}"), F.col("sketch").alias(f"sketch{x}"))
     bounded = pairs.join(side("a"), "a").join(side("b"), "b")
-    differ = F.aggregate(F.zip_with("sketcha", "sketchb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    bounded = bounded.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * 75) & (differ * 7 <= F.col("na") + F.col("nb")))
+    # sizes within 3 : 4 have sketches of one width or of two that differ by a factor of 2: the wider one is folded
+    half = lambda c, other: F.when(F.size(c) > F.size(other), F.zip_with(F.slice(c, 1, F.size(other)), F.slice(c, F.size(other) + 1, F.size(other)), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))
+    pairs_of_words = F.zip_with(half("sketcha", "sketchb"), half("sketchb", "sketcha"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differ = F.aggregate(pairs_of_words, F.lit(0), lambda s, x: s + x)
+    bounded = bounded.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * 75).where(differ * 7 <= F.col("na") + F.col("nb"))
     bounded = stored(bounded.select("a", "b", "na", "nb", "repa", "repb"), "bounded")
     reps = bounded.select(F.explode(F.array("repa", "repb")).alias("rep"))
     reps = stored(reps.distinct(), "reps")
@@ -230,6 +270,68 @@ def components(links: DataFrame) -> DataFrame:
     return labels.select("cls", "label")
 
 
+def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, cls, label, main, minor): members of keys that hold several components, the key's largest component and how many
+    members lie outside it."""
+    marked = rows.join(labels, "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
+    sizes = marked.groupBy("key", "label").agg(F.count("*").alias("n"))
+    keys = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("labels")).where("labels > 1")
+    keys = keys.select("key", F.col("top.label").alias("main"), (F.col("size") - F.col("top.n")).alias("minor"))
+    return stored(marked.join(keys, "key"), "mixed")
+
+
+def _across(mixed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a key's members in different components, of which one at least lies outside the main one."""
+    outside = mixed.where("label <> main").select("key", F.col("cls").alias("x"), F.col("label").alias("lx"))
+    met = outside.join(mixed.select("key", F.col("cls").alias("y"), F.col("label").alias("ly")), "key").where("lx <> ly")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _joined(links: DataFrame, labels: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    if fresh.isEmpty():
+        return links, labels
+    links = links.unionByName(fresh)
+    return links, components(links)
+
+
+def _by_wide_keys(hot: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, small_group: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs among members of keys that many unlike documents share, by the keys of a wider sketch that few of them share;
+    and the classes (cls) for which that isn't enough, as too many of their keys are common."""
+    members = stored(hot.select("cls").distinct(), "members")
+    reps = stored(classes.join(members, "cls", "left_semi").select("rep").distinct(), "reps")
+    texts = docs.join(small_side(reps), F.col(id_col).cast("long").eqNullSafe(F.col("rep")), "left_semi")
+    rows = wide_keyed(texts, id_col, text_col).join(members, "cls", "left_semi").distinct()
+    rows = stored(rows.join(labels, "cls", "left").select("key", "cls", "slack", F.coalesce("label", "cls").alias("label")), "wide")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size"), F.count_distinct("label").alias("parts")).where("parts > 1")
+    sizes = stored(sizes.select("key", "size"), "sizes")
+    few = rows.join(sizes.where(F.col("size") <= small_group), "key", "left_semi").select("key", "cls", "label")
+    pairs = few.select("key", F.col("cls").alias("a"), F.col("label").alias("la")).join(few.select("key", F.col("cls").alias("b"), F.col("label").alias("lb")), "key").where("a < b and la <> lb")
+    # `slack` differs between a set's two bands; common keys of both are counted against the smaller
+    common = rows.join(sizes.where(F.col("size") > small_group), "key", "left_semi")
+    stuck = common.groupBy("cls").agg(F.count("*").alias("n"), F.min("slack").alias("slack")).where("n >= slack").select("cls")
+    return pairs.select("a", "b"), stored(stuck, "stuck")
+
+
+def _by_members(rows: DataFrame, links: DataFrame, labels: DataFrame, find) -> tuple[DataFrame, DataFrame]:
+    """What is left, exactly: keys with few members outside the main component have those meet all; of the others, more and more
+    members meet all the rest, until each key is one component or all have met."""
+    order = Window.partitionBy("key").orderBy("cls")
+    left = rows.select("key", "cls", F.row_number().over(order).alias("place"), F.count("*").over(Window.partitionBy("key")).alias("size"))
+    done = 0
+    while True:
+        left = left.where(F.col("size") > done + 1)
+        mixed = _mixed(left.select("key", "cls"), labels)
+        if mixed.isEmpty():
+            return links, labels
+        left = stored(mixed.join(left, ["key", "cls"]), "left")
+        few, left = left.where(F.col("minor") <= 4 * SMALL_GROUP), left.where(F.col("minor") > 4 * SMALL_GROUP)
+        step = done * 2 + 8
+        heads = left.where((F.col("place") > done) & (F.col("place") <= step)).select("key", F.col("cls").alias("a"), F.col("place").alias("at"), F.col("label").alias("own"))
+        met = heads.join(left, "key").where((F.col("place") > F.col("at")) & (F.col("label") != F.col("own")))
+        links, labels = _joined(links, labels, find(met.select("a", F.col("cls").alias("b")).unionByName(_across(few))))
+        left, done = left.select("key", "cls", "place", "size"), step
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small_group: int = SMALL_GROUP) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
     rows = stored(classes_of_rows(docs, id_col, text_col), "rows")
@@ -240,26 +342,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # every member with its key's smallest class
     links = stored(_verified(shared.where("cls > low").select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct(), classes, docs, id_col, text_col), "links")
     labels = components(links)
-    order = Window.partitionBy("key").orderBy("cls")
-    left = shared.select("key", "cls", F.row_number().over(order).alias("place"), F.count("*").over(by_key).alias("size"))
-    done = 1
-    while True:
-        # keys that still hold several components, and members that haven't met all others
-        marked = left.where(F.col("size") > done + 1).join(labels, "cls", "left").select("key", "cls", "place", "size", F.coalesce("label", "cls").alias("label"))
-        mixed = marked.select("*", F.min("label").over(by_key).alias("least"), F.max("label").over(by_key).alias("most")).where("least < most")
-        left = stored(mixed.select("key", "cls", "place", "size", "label"), "mixed")
-        if left.isEmpty():
-            break
-        # small groups meet in full, each row with at most small_group others; of larger ones some more members meet all the rest
-        last = F.when(F.col("size") <= small_group, F.col("size")).otherwise(2 * done + 1)
-        heads = left.where((F.col("place") > done) & (F.col("place") <= last)).select("key", F.col("cls").alias("a"), F.col("place").alias("at"), F.col("label").alias("own"))
-        met = heads.join(left, "key").where((F.col("place") > F.col("at")) & (F.col("label") != F.col("own")))
-        fresh = stored(_verified(met.select("a", F.col("cls").alias("b")).distinct(), classes, docs, id_col, text_col), "links")
-        left = left.where(F.col("size") > small_group).select("key", "cls", "place", "size")
-        done = 2 * done + 1
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            labels = components(links)
+    find = lambda pairs: stored(_verified(pairs.distinct(), classes, docs, id_col, text_col), "links")
+    mixed = _mixed(shared.select("key", "cls"), labels)
+    if not mixed.isEmpty():
+        more = find(_across(mixed.where(F.col("minor") <= small_group)))
+        links, labels = _joined(links, labels, more)
+        hot = _mixed(mixed.where(F.col("minor") > small_group).select("key", "cls"), labels)
+        if not hot.isEmpty():
+            more, stuck = _by_wide_keys(hot, labels, classes, docs, id_col, text_col, small_group)
+            links, labels = _joined(links, labels, find(more))
+            links, labels = _by_members(stored(hot.join(stuck, "cls", "left_semi").select("key", "cls"), "stuck"), links, labels, find)
     named = classes.join(labels, "cls", "left").select("cls", "rep", "copies", F.coalesce("label", "cls").alias("label"))
     tops = named.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")
     names = named.join(tops, "label").select("cls", "component_id")
@@ -273,7 +365,8 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
       ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM w),
 n AS (SELECT doc_id, len(g) AS n FROM g),
