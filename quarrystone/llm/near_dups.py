@@ -10,9 +10,11 @@ elements, |A xor B| <= a / 3.
 Size bands. Sizes are cut at ratios of 4/3. The sketch of a band serves pairs whose smaller set lies in it; the larger one
 then lies in it or in the next, so a set is sketched for its own band and for the one below. With D = floor(s / 3) for the
 band's largest size s, at least m - D of m blocks agree.
-Pigeonhole join. All sets order their blocks alike, by a function of the block's content (more bits first, as they are
-rarer), and keep the first D + 1: of the agreeing blocks one at least is kept by both. A key stands for (band, block,
-content); its content is the XOR of its shingles' hashes, a linear code of the bit vector.
+Pigeonhole join. All sets order their blocks alike, by a function of the block's content (rarest first: by the
+corpus-wide count of its rarest shingle, from a table of 2^20 counters that covers all documents; then those of more bits),
+and keep the first D + 1: of the agreeing blocks one at least is kept by both. A key stands for (band, block,
+content); its content is the XOR of its shingles' hashes, a linear code of the bit vector. So passages that many documents share
+make keys only for documents that consist of little else.
 Candidates. Classes that share a key are compared with the key's smallest class first, so that a group of thousands of near
 copies costs a pair each. Keys that this leaves with several components: where all but `small_group` members
 are in one, the others meet all members. Members of the rest, keys that many unlike documents share, are sketched again
@@ -28,6 +30,7 @@ one class; an empty table gives an empty result; extra columns are ignored; text
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +41,8 @@ from pyspark.sql import functions as F
 from quarrystone.llm.common import binary_buffers, mix64, read_table, slices, small_batches, small_side, stored, text_of
 
 SHINGLE, SMALL_GROUP, SPARE, WIDE_SPARE = 5, 32, 0.5, 1.0
+#: Counters of shingles: 2^COUNTER_BITS, which travel in pieces of 2^PIECE_BITS.
+COUNTER_BITS, PIECE_BITS = 20, 12
 U, MASK = np.uint64, (1 << 64) - 1
 
 
@@ -112,8 +117,19 @@ def sketch(grams: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def counter(grams: np.ndarray) -> np.ndarray:
+    """The number of each shingle's counter."""
+    return (mix64(grams ^ U(0x5851F42D4C957F2D)) >> U(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def commonness(counts: np.ndarray) -> np.ndarray:
+    """Steps of a factor of 1.4 above the mean count; whatever is near the mean is 0, as most of such a count is chance."""
+    return np.clip(2 * np.log2(np.maximum(counts, 1) / max(1.0, counts.mean())), 0, 200).astype(np.uint8)
+
+
 def band_blocks(grams: np.ndarray, spare: float):
-    """For the set's own band and for the one below: (bound, blocks in all, keys of the blocks in use, their bits).
+    """For the set's own band and for the one below: (bound, blocks in all, keys of the blocks in use, their bits, keys of all
+    blocks if empty, numbers of the blocks in use, and the order and starts that group the shingles by block).
 
     There are bound + 1 blocks, and a `spare` share of that more."""
     n = len(grams)
@@ -131,18 +147,18 @@ def band_blocks(grams: np.ndarray, spare: float):
         begins = np.flatnonzero(np.diff(block, prepend=-1))
         content = np.bitwise_xor.reduceat(code, begins)
         place = mix64(U(0xD1B54A32D192ED03 * (band + 1) & MASK) + (block[begins].astype(U) + U(blocks << 32)) * U(0x9E3779B97F4A7C15))
-        yield bound, blocks, mix64(place ^ content), np.diff(np.append(begins, n)), mix64(U(0xD1B54A32D192ED03 * (band + 1) & MASK) + (np.arange(blocks, dtype=U) + U(blocks << 32)) * U(0x9E3779B97F4A7C15)), block[begins]
+        yield bound, blocks, mix64(place ^ content), np.diff(np.append(begins, n)), mix64(U(0xD1B54A32D192ED03 * (band + 1) & MASK) + (np.arange(blocks, dtype=U) + U(blocks << 32)) * U(0x9E3779B97F4A7C15)), block[begins], order, begins
 
 
-def keys_of(grams: np.ndarray, spare: float = SPARE) -> np.ndarray:
-    """The first bound + 1 blocks in the common order: more bits first, then by key."""
+def keys_of(grams: np.ndarray, common: np.ndarray, spare: float = SPARE) -> np.ndarray:
+    """The first bound + 1 blocks in the common order: least `common` (of the rarest shingle), more bits first, then by key."""
     out = []
-    for bound, blocks, keys, bits, empty, used in band_blocks(grams, spare):
+    for bound, _, keys, bits, empty, used, order, begins in band_blocks(grams, spare):
         if len(keys) <= bound:  # empty blocks are keys too, the last in order
             rest = np.sort(np.delete(empty, used))[: bound + 1 - len(keys)]
             out.append(np.concatenate([keys, rest]))
         else:
-            out.append(keys[np.lexsort((keys, -bits))[: bound + 1]])
+            out.append(keys[np.lexsort((keys, -bits, np.minimum.reduceat(common[order], begins)))[: bound + 1]])
     return np.concatenate(out).view(np.int64)
 
 
@@ -151,7 +167,7 @@ def wide_keys(grams: np.ndarray, spare: float = WIDE_SPARE) -> tuple[np.ndarray,
 
     Of the blocks, at least (blocks - bound) agree; those that are empty may be among them."""
     keys, slack = [], []
-    for bound, blocks, own, _, _, _ in band_blocks(grams, spare):
+    for bound, blocks, own, *_ in band_blocks(grams, spare):
         keys.append(own)
         slack.append(np.full(len(own), blocks - bound - (blocks - len(own))))
     return np.concatenate(keys).view(np.int64), np.concatenate(slack)
@@ -180,22 +196,53 @@ def _each(batches: Iterator[pa.RecordBatch]):
 
 
 def classes_of_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, cls (null without shingles), sketch."""
+    """Rows of two kinds from one pass: doc_id, n, cls (null without shingles), sketch of each document, with a null piece; and
+    piece, task, counts (packed), a task's counters, with nulls before."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.binary())
+    names = ["doc_id", "n", "cls", "sketch", "piece", "task", "counts"]
+
+    def rows_of(columns: list[list]) -> pa.RecordBatch:
+        most = max(map(len, columns))
+        return pa.RecordBatch.from_arrays([pa.array(c or [None] * most, t) for c, t in zip(columns, types, strict=True)], names)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        counts, task = np.zeros(1 << COUNTER_BITS, "<u4"), TaskContext.get().partitionId()
         for rows in _each(batches):
-            columns = [[d for d, _ in rows], [len(g) for _, g in rows], [class_id(g) if len(g) else None for _, g in rows], [sketch(g) if len(g) else None for _, g in rows]]
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "n", "cls", "sketch"])
+            yield rows_of([[d for d, _ in rows], [len(g) for _, g in rows], [class_id(g) if len(g) else None for _, g in rows], [sketch(g) if len(g) else None for _, g in rows], [], [], []])
+            if grams := [g for _, g in rows if len(g)]:
+                np.add.at(counts, counter(np.concatenate(grams)), 1)
+        pieces = [(k, part) for k, part in enumerate(counts.reshape(-1, 1 << PIECE_BITS)) if part.any()]
+        if pieces:
+            yield rows_of([[], [], [], [], [k for k, _ in pieces], [task] * len(pieces), [zlib.compress(part.tobytes(), 1) for _, part in pieces]])
+
+    return _sets(docs, id_col, text_col).mapInArrow(name, "doc_id long, n long, cls long, sketch array<long>, piece int, task int, counts binary")
+
+
+def counted(rows: DataFrame) -> np.ndarray:
+    """All counters, summed over tasks: some hundreds of tasks first, then those sums. The table has one size for any corpus."""
+
+    def summed(keys: tuple, table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(x), "<u8" if len(keys) == 1 else "<u4").astype("<u8") for x in table.column("counts").to_pylist())
+        return pa.table({"piece": pa.array([keys[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    return _sets(docs, id_col, text_col).mapInArrow(name, "doc_id long, n long, cls long, sketch array<long>")
+    parts = rows.where("piece is not null").select("piece", F.floor(F.col("task") / 256).alias("part"), "counts")
+    parts = parts.groupBy("piece", "part").applyInArrow(summed, "piece int, counts binary")
+    parts = parts.groupBy("piece").applyInArrow(summed, "piece int, counts binary")
+    out = np.zeros((1 << COUNTER_BITS - PIECE_BITS, 1 << PIECE_BITS), np.int64)
+    for row in parts.collect():
+        out[row.piece] = np.frombuffer(zlib.decompress(row.counts), "<u8")
+    return out.ravel()
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(docs: DataFrame, id_col: str, text_col: str, common: np.ndarray) -> DataFrame:
     """(key, cls). Within a task a class gives its keys once, which combines copies before the shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # 1 MB
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        common = shared.value
         for rows in _each(batches):
             names, keys = [], []
             for _, grams in rows:
@@ -203,7 +250,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     if len(seen) > 500_000:
                         seen.clear()
                     seen.add(c)
-                    k = keys_of(grams)
+                    k = keys_of(grams, common[counter(grams)])
                     keys.append(k)
                     names.append(np.full(len(k), c))
             if keys:
@@ -334,10 +381,12 @@ def _by_members(rows: DataFrame, links: DataFrame, labels: DataFrame, find) -> t
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small_group: int = SMALL_GROUP) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
-    rows = stored(classes_of_rows(docs, id_col, text_col), "rows")
+    both = stored(classes_of_rows(docs, id_col, text_col), "rows")
+    rows = both.where("piece is null").select("doc_id", "n", "cls", "sketch")
+    common = commonness(counted(both))
     classes = stored(rows.where("cls is not null").groupBy("cls").agg(F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")), "classes")
     by_key = Window.partitionBy("key")
-    shared = keyed(docs, id_col, text_col).select("key", "cls", F.min("cls").over(by_key).alias("low"), F.max("cls").over(by_key).alias("high"))
+    shared = keyed(docs, id_col, text_col, common).select("key", "cls", F.min("cls").over(by_key).alias("low"), F.max("cls").over(by_key).alias("high"))
     shared = stored(shared.where("low < high").select("key", "cls", "low").distinct(), "shared")
     # every member with its key's smallest class
     links = stored(_verified(shared.where("cls > low").select(F.col("low").alias("a"), F.col("cls").alias("b")).distinct(), classes, docs, id_col, text_col), "links")

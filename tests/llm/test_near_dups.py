@@ -62,7 +62,7 @@ def test_against_brute_force(spark):
 
 def test_similar_sets_share_a_key_and_sketches_bound():
     rng = np.random.default_rng(0)
-    pairs = 0
+    pairs, common_of = 0, rng.integers(0, 3, 1 << near_dups.COUNTER_BITS)
     for _ in range(1500):
         a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 200))).astype(np.uint64))
         cut = int(rng.integers(0, len(a) // 4 + 2))
@@ -78,7 +78,7 @@ def test_similar_sets_share_a_key_and_sketches_bound():
         assert bits <= differ
         if 100 * common >= 75 * (len(a) + len(b) - common):
             pairs += 1
-            assert len(np.intersect1d(near_dups.keys_of(a), near_dups.keys_of(b)))
+            assert len(np.intersect1d(near_dups.keys_of(a, common_of[near_dups.counter(a)]), near_dups.keys_of(b, common_of[near_dups.counter(b)])))
             (ka, sa), (kb, _) = near_dups.wide_keys(a), near_dups.wide_keys(b)
             assert len(np.intersect1d(ka, kb)) >= sa.min()
     assert pairs > 200
@@ -91,3 +91,9 @@ def test_nulls_repeats_and_long_texts(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out), key=str)
     assert got == sorted([(5, 49_996, 5), (9, 49_997, 5), (5, 49_996, 5), (None, 49_996, 5), (None, 0, None), (None, 1, None), (7, 0, 7)], key=str)
     assert near_dups.jaccard_components(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_counters_cover_all_documents(spark):
+    rows = corpus(random.Random(3))
+    both = near_dups.classes_of_rows(spark.createDataFrame(rows, SCHEMA).repartition(5), "doc_id", "text")
+    assert near_dups.counted(both).sum() == sum(len(shingles(t)) for t, *_ in rows)
