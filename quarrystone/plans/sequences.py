@@ -87,7 +87,7 @@ def frame_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH n AS (SELECT event_id, ts, value::DECIMAL(20,6) AS v, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos FROM events) SELECT event_id, round((sum(v) OVER w)::DOUBLE / count(*) OVER w, 6) AS mean FROM n WINDOW w AS (PARTITION BY pos // 201 ORDER BY pos ROWS UNBOUNDED PRECEDING)")
 def avg_timer(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "ts", "value")
-    return sequence.resetting_mean(rows, ["ts", "event_id"], "value", 200).select("event_id", F.round("mean", 6).alias("mean"))
+    return sequence.resetting_mean(rows, ["ts", "event_id"], "value", 200).select("event_id", (F.round(F.col("mean") * 1e6) / 1e6).alias("mean"))
 
 
 @query(
