@@ -1,10 +1,10 @@
 """License scans with a positional rare-token index. DataFrame functions only.
 
 Words are runs of lower-case letters and digits (and anything beyond ASCII). The licence words of the templates get inverse
-document frequencies over all documents. Each file looks up its licence words of highest IDF (at most `lookups`, none that
-more than `common` of all documents hold), each occurrence votes for every (template, start) its postings put it at, and
-starts that at least two words agree on - or one, in templates that have no more - are verified: every mandatory phrase of the
-template must stand at its relative position. Verified labels join those of the base phrases, which always stay.
+document frequencies over all documents. Each template is looked up by its anchor, the word of highest IDF among its mandatory
+phrases, at any frequency: each occurrence puts the template at one start, and starts are verified: every mandatory phrase
+must stand at its relative position. A verified start holds its anchor, so none is missed, in any mix of notices.
+Verified labels join those of the base phrases, which always stay.
 
 Cases: a null or empty text has no words and no labels; repeated rows get equal results; an empty table gives an
 empty result; extra columns are ignored; whole texts are read.
@@ -37,7 +37,6 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify and or distribute this software"]),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license v 2 0"]),
 ]
-LOOKUPS, COMMON = 8, 0.2
 
 
 def vocabulary(templates=TEMPLATES) -> list[str]:
@@ -75,19 +74,18 @@ def _places(joined: Column, phrase: str) -> Column:
     return F.when(F.size(parts) > 1, found).otherwise(F.array().cast("array<int>"))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, lookups: int = LOOKUPS, common: float = COMMON) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     frequency = idf(docs, text_col, templates)
-    # licence words that are rare enough to look up, the rarest first; ties by word
-    rare = [w for w in sorted(frequency, key=lambda w: (frequency[w][0], w)) if 0 < frequency[w][0] and frequency[w][0] <= max(common * frequency[w][1], 1)]
+    anchors = _anchors(frequency, templates)
     rows = docs.select(F.col(id_col).alias("doc_id"), _words(text_of(text_col)).alias("words"))
-    rows = rows.select("doc_id", "words", F.slice(F.array_intersect(_strings(rare), F.col("words")), 1, lookups).alias("present"))
+    rows = rows.select("doc_id", "words", F.arrays_overlap("words", _strings(sorted({w for w, _ in anchors.values()}))).alias("present"))
     joined = F.when(F.exists("words", lambda w: w.isin(*sorted({p.split(" ")[0] for p in PHRASES}))), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).otherwise(F.lit(" "))
     rows = rows.select("doc_id", "words", "present", joined.alias("joined"))
     rows = rows.select("doc_id", "words", "present", *[_places(F.col("joined"), p).alias(f"p{k}") for k, p in enumerate(PHRASES)])
     places = F.concat(*[f"p{k}" for k in range(len(PHRASES))])
     labels = F.filter(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())]), lambda x: x.isNotNull())
-    found = F.when(F.size("present") > 0, _matches(F.col("words"), F.col("present"), templates, rare)).otherwise(F.array().cast("array<struct<label:string,share:double>>"))
+    found = F.when(F.col("present"), _matches(F.col("words"), templates, anchors)).otherwise(F.array().cast("array<struct<label:string,share:double>>"))
     rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), places.alias("places"), labels.alias("base"), found.alias("found"))
     joined_labels = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     own = F.transform("found", lambda x: x["label"])
@@ -103,29 +101,34 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def _matches(words: Column, present: Column, templates, rare: list[str]) -> Column:
+def _anchors(frequency: dict[str, tuple[int, int]], templates) -> dict[int, tuple[str, int]]:
+    """template -> (word, position) of its rarest mandatory word; ties by word. Templates with a word that no document holds are left out."""
+    out = {}
+    for t, (_, text, phrases) in enumerate(templates):
+        places = [(frequency[w][0], w, _index(text.split(), phrase) + k) for phrase in phrases for k, w in enumerate(phrase.split())]
+        n, word, at = min(places)
+        if n > 0:
+            out[t] = (word, at)
+    return out
+
+
+def _matches(words: Column, templates, anchors: dict[int, tuple[str, int]]) -> Column:
     """Verified (label, share of the template's words that stand at their place)."""
-    # postings: rare word -> (template, position) pairs, as an array in the order of `rare`
-    texts = [text.split() for _, text, _ in templates]
-    postings = {w: [(t, p) for t, text in enumerate(texts) for p, x in enumerate(text) if x == w] for w in rare}
-    table = F.create_map(*[x for w in rare for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w]]))]) if rare else None
-    if table is None:
+    if not anchors:
         return F.array().cast("array<struct<label:string,share:double>>")
+    # postings: anchor -> (template, position) pairs
+    texts = [text.split() for _, text, _ in templates]
+    postings: dict[str, list[tuple[int, int]]] = {}
+    for t, (w, p) in anchors.items():
+        postings.setdefault(w, []).append((t, p))
+    table = F.create_map(*[x for w in sorted(postings) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w]]))])
     numbered = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    hits = F.filter(numbered, lambda x: F.array_contains(present, x["w"]))
-    # a vote is one number, template * 2^32 + start (+ 1024, as a start may lie before the text), so that sets are hashed
-    vote = lambda t, at: t.cast("long") * 4294967296 + at + 1024
-    votes = F.array_sort(F.flatten(F.transform(hits, lambda x: F.transform(F.element_at(table, x["w"]), lambda q: vote(q["t"], x["i"] - q["p"])))))
-    own = F.array(*[F.size(F.array_intersect(present, _strings(sorted(set(text))))) for text in texts])
-    # intersection of postings: starts that two or more looked-up words agree on, or one where the template has but one of them
-    after = F.concat(F.slice(votes, 2, F.greatest(F.size(votes) - 1, F.lit(0))), F.array(F.lit(-1).cast("long")))
-    agreed = F.zip_with(votes, after, lambda v, w: F.when((v == w) | (F.element_at(own, F.shiftright(v, 32).cast("int") + 1) < 2), v))
-    agreed = F.array_distinct(F.filter(agreed, lambda v: v.isNotNull()))
-    agreed = F.transform(agreed, lambda v: F.struct(F.shiftright(v, 32).cast("int").alias("t"), (v % 4294967296 - 1024).cast("int").alias("at")))
+    hits = F.filter(numbered, lambda x: x["w"].isin(*sorted(postings)))
+    starts = F.flatten(F.transform(hits, lambda x: F.transform(F.element_at(table, x["w"]), lambda q: F.struct(q["t"].alias("t"), (x["i"] - q["p"]).alias("at")))))
     word_lists = F.array(*[_strings(text) for text in texts])
     keys = F.array(*[F.array(*[F.struct(F.lit(_index(text, phrase)).alias("at"), _strings(phrase.split()).alias("words")) for phrase in phrases]) for text, (_, _, phrases) in zip(texts, templates, strict=True)])
     stands = lambda s, part: F.when(s["at"] + part["at"] >= 0, F.slice(words, F.greatest(s["at"] + part["at"] + 1, F.lit(1)), F.size(part["words"])) == part["words"]).otherwise(False)
-    verified = F.filter(agreed, lambda s: F.forall(F.element_at(keys, s["t"] + 1), lambda part: stands(s, part)))
+    verified = F.filter(starts, lambda s: F.forall(F.element_at(keys, s["t"] + 1), lambda part: stands(s, part)))
     names = F.array(*[F.lit(label) for label, *_ in templates])
 
     def share(s: Column) -> Column:

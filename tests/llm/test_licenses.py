@@ -54,5 +54,17 @@ def test_against_brute_force(spark):
         assert label in by[2000 + i].labels.split(",")
 
 
+def test_common_notices_and_mixes(spark):
+    """A notice that most rows hold, all notices in one file, and rows in which rarer words of other templates stand alone."""
+    every = " . ".join(body for _, body, _ in licenses.TEMPLATES)
+    loose = "redistribution binary forms permission mozilla creative commons attribution warranty hereby charge obtaining conditions "
+    rows = [("Licensed under the Apache License, Version 2.0.", k, None) for k in range(40)] + [("plain text", 100 + k, None) for k in range(20)]
+    rows += [(every, 200, None), (loose + "released under the mit license", 201, None), (loose + "apache license version 2 0 " + loose, 202, None)]
+    out = {r.doc_id: set(filter(None, r.labels.split(","))) for r in licenses.scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for text, k, _ in rows:
+        assert out[k] == set(filter(None, base(text)[4].split(","))) | verified(text), text
+    assert out[0] == {"apache", "apache-2.0"} and "mit" in out[201] and out[200] >= {label for label, *_ in licenses.TEMPLATES}
+
+
 def test_empty(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], SCHEMA)).count() == 0
