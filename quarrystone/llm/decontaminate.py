@@ -1,15 +1,16 @@
 """Benchmark decontamination by template canonicalisation. DataFrame functions only.
 
 Numbers, units after numbers and names (capitalised words inside a sentence) become typed placeholders, the rest lower case.
-Windows of `window` canonical words of the benchmark are hash-joined with those at every position of every
-document. Matches of a document with an item are gathered over the item's positions; placeholders are
+Windows of `window` words of the benchmark are hash-joined with those at every position of every document, as canonical words
+and, where they hold placeholders, as plain lower-case words too, so that literal copies match whatever became a placeholder.
+Matches of a document with an item are gathered over the item's positions; placeholders are
 then compared: an item's slot value must stand for one and the same value all along the match (the values may differ
-from the item's, which is a re-parameterised question; contradictory slots are no copy). A document is contaminated by
+from the item's, which is a re-parameterised question); windows with a contradictory slot are no copy. A document is contaminated by
 an item if at least `share` of the item's words lie in matched windows with consistent slots.
 
 Cases: null or empty texts and items match nothing; an item shorter than a window is one window of its own
-length (its length joins with documents' windows of that length); windows of mostly placeholders are not used, unless
-the item has no other; items with equal canonical words are all reported; repeated rows count once; rows with a null
+length (its length joins with documents' windows of that length); windows of mostly placeholders are used as plain words only,
+unless the item's others cover less than `share` of it; runs of white space are one blank; items with equal canonical words are all reported; repeated rows count once; rows with a null
 doc_id can't be reported; extra columns are ignored; empty tables give an empty result.
 """
 
@@ -25,6 +26,8 @@ NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
 UNITS = "km|cm|mm|kg|mg|ml|mph|m|g|s|h|l|miles?|meters?|metres?|kilometers?|feet|foot|inch(?:es)?|pounds?|grams?|kilograms?|liters?|litres?|hours?|minutes?|seconds?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent"
 #: Between a digit and a digit, a point or comma is part of the number; the middle dot keeps it one word.
 INNER = "·"
+#: White space that is no single blank.
+SPACES = r"[\s\p{Z}&&[^ ]][\s\p{Z}]*| [\s\p{Z}]+"
 
 
 def _words(text: Column) -> Column:
@@ -33,8 +36,8 @@ def _words(text: Column) -> Column:
 
 
 def plain(text: Column) -> Column:
-    """The text with placeholders' characters gone, numbers as one word each, and a blank between digits and letters."""
-    clean = F.translate(text, NAME + NUMBER + UNIT + INNER, "    ")
+    """The text with placeholders' characters gone, single blanks, numbers as one word each, and a blank between digits and letters."""
+    clean = F.regexp_replace(F.translate(text, NAME + NUMBER + UNIT + INNER, "    "), SPACES, " ")
     numbered = F.regexp_replace(F.regexp_replace(clean, r"(?<=\p{N})[.,](?=\p{N})", INNER), r"(?<=\p{N})(?=\p{L})|(?<=\p{L})(?=\p{N})", " ")
     return F.when(clean.rlike(r"\p{N}"), numbered).otherwise(clean)
 
@@ -51,29 +54,46 @@ def is_slot(word: Column) -> Column:
     return word.isin(NAME, NUMBER, UNIT)
 
 
-def _windows(words: Column, k: int) -> Column:
-    return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(words, i, k))))
+def _windows(c: Column, w: Column, k: int) -> Column:
+    """(pos, h) of all windows of k canonical words, and of the plain words of those with placeholders."""
+    at = F.sequence(F.lit(1), F.greatest(F.size(c) - (k - 1), F.lit(1)))
+    hashed = lambda words, places: F.transform(places, lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(F.slice(words, i, k)).alias("h")))
+    slots = F.filter(F.transform(c, lambda x, i: F.when(is_slot(x), i + 1)), lambda i: i.isNotNull())
+    slotted = F.array_distinct(F.flatten(F.transform(slots, lambda i: F.sequence(F.greatest(i - (k - 1), F.lit(1)), F.greatest(F.least(i, F.size(c) - (k - 1)), F.lit(1))))))
+    every = F.when(w.isNull(), hashed(c, at)).otherwise(F.concat(hashed(c, at), hashed(w, slotted)))
+    return F.when(F.size(c) >= k, every)
 
 
-def bench_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+def bench_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int, share: float = SHARE) -> DataFrame:
     """item_id, n (words), k (window length), ipos, h; bounded by the benchmark."""
-    items = benchmark.select(F.col(id_col).alias("item_id"), _words(canonical(text_of(text_col))).alias("c")).where(F.size("c") > 0)
-    items = items.select("item_id", "c", F.size("c").alias("n"), F.least(F.size("c"), F.lit(window)).alias("k"))
-    parts = items.select("item_id", "n", "k", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n") - F.col("k") + 1), lambda i: F.slice("c", i, F.col("k")))).alias("ipos", "w"))
-    slots = F.size(F.filter("w", is_slot))
-    return parts.where((slots * 2 <= F.col("k")) | (F.col("n") == F.col("k"))).select("item_id", "n", "k", "ipos", F.xxhash64("w").alias("h"), (slots > 0).alias("slotted"))
+    items = benchmark.select(F.col(id_col).alias("item_id"), _words(canonical(text_of(text_col))).alias("c"), _words(plain(text_of(text_col))).alias("plain")).where(F.size("c") > 0)
+    items = items.select("item_id", "c", "plain", F.size("c").alias("n"), F.least(F.size("c"), F.lit(window)).alias("k"))
+    starts = F.transform(F.sequence(F.lit(1), F.col("n") - F.col("k") + 1), lambda i: F.struct((i - 1).alias("ipos"), F.slice("c", i, F.col("k")).alias("c"), F.slice("plain", i, F.col("k")).alias("plain"), F.size(F.filter(F.slice("c", i, F.col("k")), is_slot)).alias("slots")))
+    items = items.select("item_id", "n", "k", starts.alias("parts"))
+    light = F.filter("parts", lambda x: x["slots"] * 2 <= F.col("k"))
+    reach = F.size(F.array_distinct(F.flatten(F.transform(light, lambda x: F.sequence(x["ipos"], x["ipos"] + F.col("k") - 1)))))
+    parts = items.select("item_id", "n", "k", (reach < F.col("n") * share).alias("heavy"), F.explode("parts").alias("x"))
+    use = (F.col("x.slots") * 2 <= F.col("k")) | F.col("heavy") | (F.col("n") == F.col("k"))
+    kinds = F.filter(F.array(F.when(use, F.xxhash64("x.c")), F.xxhash64("x.plain")), lambda h: h.isNotNull())
+    return parts.select("item_id", "n", "k", "x.ipos", F.explode(F.array_distinct(kinds)).alias("h"), (F.col("x.slots") > 0).alias("slotted"))
+
+
+def _reach(starts: Column) -> Column:
+    """Positions of the words in windows of k words at the starts."""
+    return F.array_distinct(F.flatten(F.transform(starts, lambda a: F.sequence(a, a + F.col("k") - 1))))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """One row per contaminated document and item: doc_id, item_id, item_words, covered, share, n_slots, same_slots."""
-    bench = stored(bench_windows(benchmark, item_col, item_text_col, window), "bench")
+    bench = stored(bench_windows(benchmark, item_col, item_text_col, window, share), "bench")
     lengths = sorted(r["k"] for r in bench.select("k").distinct().collect())  # at most `window` numbers
     # one row per hash, so that the join makes a row per matching window of a document, whatever the benchmark repeats
     hashes = stored(bench.select("h", "k").distinct(), "hashes")
-    rows = docs.select(F.col(id_col).alias("doc_id"), _words(canonical(text_of(text_col))).alias("c")).where("doc_id is not null")
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), _words(canonical(text_of(text_col))).alias("c")).where("doc_id is not null")
+    rows = rows.select("doc_id", "c", F.when(F.exists("c", is_slot), _words(plain(F.col("text")))).alias("w"))
     found = None
     for k in lengths:
-        part = rows.select("doc_id", F.posexplode(_windows(F.col("c"), k)).alias("pos", "h"))
+        part = rows.select("doc_id", F.inline(_windows(F.col("c"), F.col("w"), k)))
         part = part.join(small_side(hashes.where(F.col("k") == k).select("h")), "h").select("doc_id", "pos", "h", F.lit(k).alias("k"))
         found = part if found is None else found.unionByName(part)
     if found is None:
@@ -82,8 +102,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     matches = found.join(small_side(bench), ["h", "k"]).select("doc_id", "item_id", "n", "k", "pos", "ipos", "slotted")
     # a diagonal is one alignment of a document with an item; its size is bounded by the item's
     diagonal = matches.groupBy("doc_id", "item_id", "n", "k", (F.col("pos") - F.col("ipos")).alias("diag")).agg(F.collect_set("ipos").alias("at"), F.max("slotted").alias("slotted"))
-    words_at = F.array_distinct(F.flatten(F.transform("at", lambda a: F.sequence(a, a + F.col("k") - 1))))
-    diagonal = diagonal.select("doc_id", "item_id", "n", "diag", "slotted", words_at.alias("at"))
+    diagonal = diagonal.select("doc_id", "item_id", "n", "k", "diag", "slotted", F.col("at").alias("starts"), _reach(F.col("at")).alias("at"))
     # alignments that could matter, before texts are read again for their slots
     enough = diagonal.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("reach"), F.first("n").alias("whole")).where(F.col("reach") >= F.col("whole") * share)
     diagonal = stored(diagonal.join(enough.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi"), "diagonals")
@@ -94,17 +113,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def _slots(diagonal: DataFrame, docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
-    """Alignments whose slots are consistent: doc_id, item_id, n, at, n_slots, same."""
+    """Alignments without the windows that hold a contradictory slot: doc_id, item_id, n, at, n_slots, same."""
     ids = stored(diagonal.select(F.col("doc_id").alias("wanted")).distinct(), "slotted")
     texts = docs.join(small_side(ids), F.col(id_col) == F.col("wanted"), "left_semi").dropDuplicates([id_col, text_col])
     texts = texts.select(F.col(id_col).alias("doc_id"), _words(plain(text_of(text_col))).alias("doc_words"))
     items = benchmark.select(F.col(item_col).alias("item_id"), _words(plain(text_of(item_text_col))).alias("item_words"), _words(canonical(text_of(item_text_col))).alias("c"))
     joined = diagonal.join(texts, "doc_id").join(small_side(items), "item_id")
     slots = F.filter("at", lambda p: is_slot(F.element_at("c", p + 1)))
-    pairs = F.transform(slots, lambda p: F.struct(F.element_at("item_words", p + 1).alias("theirs"), F.try_element_at("doc_words", F.greatest(F.col("diag") + p + 1, F.lit(1))).alias("ours")))
-    joined = joined.select("doc_id", "item_id", "n", "at", pairs.alias("pairs"))
-    theirs, both = F.array_distinct(F.transform("pairs", lambda x: x["theirs"])), F.array_distinct("pairs")
-    joined = joined.where(F.size(theirs) == F.size(both))
+    pairs = F.transform(slots, lambda p: F.struct(p.alias("p"), F.element_at("item_words", p + 1).alias("theirs"), F.try_element_at("doc_words", F.greatest(F.col("diag") + p + 1, F.lit(1))).alias("ours")))
+    joined = joined.select("doc_id", "item_id", "n", "k", "starts", pairs.alias("pairs"))
+    clash = F.filter("pairs", lambda x: F.exists("pairs", lambda y: (x["theirs"] == y["theirs"]) & ~x["ours"].eqNullSafe(y["ours"])))
+    joined = joined.select("doc_id", "item_id", "n", "k", "starts", "pairs", clash.alias("clash"))
+    kept = F.filter("starts", lambda s: ~F.exists("clash", lambda x: (x["p"] >= s) & (x["p"] < s + F.col("k"))))
+    joined = joined.select("doc_id", "item_id", "n", "pairs", _reach(kept).alias("at")).where(F.size("at") > 0)
+    joined = joined.select("doc_id", "item_id", "n", "at", F.filter("pairs", lambda x: F.array_contains("at", x["p"])).alias("pairs"))
     return joined.select("doc_id", "item_id", "n", "at", F.size("pairs").alias("n_slots"), F.forall("pairs", lambda x: x["theirs"].eqNullSafe(x["ours"])).alias("same"))
 
 

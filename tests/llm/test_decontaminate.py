@@ -59,5 +59,27 @@ def test_literal_windows_against_brute_force(spark):
     assert set(run(spark, docs, items)) == want and want
 
 
+def test_dense_slots_contradictions_and_spacing(spark):
+    dense = " , ".join(f"{k} km" for k in range(3, 23)) + " and so on"
+    names = "They are " + ", ".join(f"Name{'abcdefghijklmnopqrst'[k]}" for k in range(20))
+    words = [a + b for a in ("th", "er", "on", "sch") for b in ("ea", "ou", "ing", "er", "ion", "ain", "ost")] * 2
+    words[10], words[40] = "77", "77"
+    text = " ".join(words[:56]) + " end"
+    docs = [
+        ("so " + dense + " he said", 1, None),
+        ("so " + dense.replace("km", "miles") + " he said", 2, None),
+        ("so " + names + " he said", 3, None),
+        (names.lower(), 4, None),
+        (text.replace("77", "78", 1), 5, None),
+        (ITEM.replace(" ", "\n  "), 6, None),
+        (ITEM.lower(), 7, None),
+        (ITEM.replace("with ", "with (").replace("and ", "and - "), 8, None),
+        ("3 km is far and 4 km is farther still they said to each other on the way", 9, None),
+    ]
+    out = run(spark, docs, [(1, dense), (2, names), (3, text), (4, ITEM)])
+    assert set(out) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 3), (6, 4), (7, 4), (8, 4)}
+    assert out[5, 3].item_words == 57 and out[5, 3].covered == 55 and out[6, 4].same_slots
+
+
 def test_empty(spark):
     assert run(spark, [], [(1, ITEM)]) == {} and run(spark, [("a b c", 1, None)], []) == {}
