@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _stored_at[out] = path
+    return out
+
+
+_stored_at: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete the files of tables that `stored` wrote here and that nothing reads any more. Others are left alone."""
+    for table in tables:
+        path = _stored_at.pop(table, None)
+        if path:
+            hadoop = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
