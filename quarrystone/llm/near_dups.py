@@ -18,8 +18,8 @@ whose Hamming distance exceeds the bound, drops a pair; what remains is verified
 Crowds. What is left are pairs all of whose shared keys have more classes: both are members of the crowd, and its shingles are
 counted exactly. Rarest first, similar sets share one of their first n - ceil(3 n / 4) + 1 shingles.
 If that is in at most `few` sets, the pair is compared. If not, all that the two share is common: |A and B| is at most the number of
-common shingles of either, so 7 * common >= 3 * (a + b) for both. Sets whose common shingles can't reach that with the smallest
-set that shares one are out, however many share a passage. Of the sets with equal common shingles the smallest
+common shingles of either from the first shared one on, so 7 times that is 3 * (a + b) at least for both. Common shingles from which on
+a set can't reach that with the smallest set that shares one are no keys, however many sets share a passage. Of the sets with equal common shingles the smallest
 stands for those that must link with it (7 * common >= 3 * (a + b) suffices there). The rest, some sets a common part, meet
 hubs, the sets that consist most of common shingles, key by key; in the end those outside a key's main component meet its other members.
 
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.llm.common import binary_buffers, drop_stored, mix64, read_table, slices, small_batches, small_side, stored, text_of
 
-SHINGLE, FEW, HUB_ROUNDS = 5, 16, 3
+SHINGLE, FEW, HUB_ROUNDS = 5, 16, 2
 #: Counters of shingles: 2^COUNTER_BITS, which travel in pieces of 2^PIECE_BITS.
 COUNTER_BITS, PIECE_BITS = 20, 12
 #: Least number of blocks of a sketch; keys of blocks whose rarest shingle is common are spread over SALTS tasks.
@@ -329,28 +329,38 @@ def _pairs_of_lists(rows: DataFrame, key: str) -> DataFrame:
 
 
 def _can_link(common: Column, sizes: Column) -> Column:
-    """Whether a set with so many common shingles may link with one that shares only such, by the sum of their sizes."""
+    """Whether two sets that share so many common shingles at most, and no others, may link, by the sum of their sizes."""
     return common * 7 >= sizes * 3
 
 
 def _crowd(sets: DataFrame, few: int) -> DataFrame:
-    """For every set of the crowd: cls, n, common (how many of its shingles are in more than `few` sets), part (a name of
-    these), keys (df, x): the first n - ceil(3 n / 4) + 1 shingles in order of their counts, but for those of one set only."""
+    """For every set of the crowd: cls, n, common (how many of its shingles are in more than `few` sets), part (a name of these); and, of
+    its first n - ceil(3 n / 4) + 1 shingles in order of their counts, those in at most `few` sets (rare) and in more (keys)."""
     rows = sets.select("cls", F.size("grams").alias("n"), F.explode("grams").alias("x"))
     counts = stored(rows.groupBy("x").agg(F.count("*").alias("df")).where("df > 1"), "counts")
     found = rows.join(counts, "x").groupBy("cls").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "x"))).alias("found"))
     common = F.filter("found", lambda f: f["df"] > few)
+    found = found.select("cls", "n", "found", common.alias("shared"), F.xxhash64(F.transform(common, lambda f: f["x"])).alias("part"))
     first = F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1 - (F.col("n") - F.size("found"))
     keys = F.slice("found", 1, F.greatest(first, F.lit(0)).cast("int"))
-    out = stored(found.select("cls", "n", F.size(common).alias("common"), F.xxhash64(F.transform(common, lambda f: f["x"])).alias("part"), keys.alias("keys")), "crowd")
+    of = lambda where: F.transform(F.filter(keys, where), lambda f: f["x"])
+    out = stored(found.select("cls", "n", F.size("shared").alias("common"), "part", of(lambda f: f["df"] <= few).alias("rare"), of(lambda f: f["df"] > few).alias("keys")), "crowd")
     drop_stored(counts)
     return out
 
 
+ROW = ("x", "cls", "n", "common")
+
+
+def _trimmed(rows: DataFrame) -> DataFrame:
+    """rows without keys of one set, and without those from which on a set has too few common shingles for the key's smallest set."""
+    smallest = rows.groupBy("x").agg(F.min("n").alias("n0"), F.count("*").alias("size")).where("size > 1")
+    return stored(rows.join(smallest, "x").where(_can_link(F.col("common"), F.col("n") + F.col("n0"))).select(*ROW), "common")
+
+
 def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """rows (x, cls, n, common) of keys that hold several components, with label and main, the key's largest component."""
-    marked = rows.select("x", "cls", "n", "common").join(labels, "cls", "left")
-    marked = marked.select("x", "cls", "n", "common", F.coalesce("label", "cls").alias("label"))
+    """rows of keys that hold several components, with label and main, the key's largest component."""
+    marked = rows.select(*ROW).join(labels, "cls", "left").select(*ROW, F.coalesce("label", "cls").alias("label"))
     sizes = marked.groupBy("x", "label").agg(F.count("*").alias("size"))
     keys = sizes.groupBy("x").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels")).where("labels > 1")
     return stored(marked.join(keys.select("x", F.col("top.label").alias("main")), "x"), "mixed")
@@ -374,8 +384,7 @@ def _link_crowd(sets: DataFrame, classes: DataFrame, labels: DataFrame, few: int
         drop_stored(bounded, links)
         return after
 
-    keys = crowd.select("cls", "n", "common", "part", F.inline("keys"))
-    labels = link(labels, _pairs_of_lists(keys.where(F.col("df") <= few), "x"))
+    labels = link(labels, _pairs_of_lists(crowd.select("cls", F.explode("rare").alias("x")), "x"))
     # from here on: links by common shingles alone
     able = crowd.where(_can_link(F.col("common"), F.col("n") * 7 / 4))
     least = able.groupBy("part").agg(F.min(F.struct("n", "cls")).alias("least")).select("part", F.col("least.n").alias("n0"), F.col("least.cls").alias("c0"))
@@ -383,9 +392,9 @@ def _link_crowd(sets: DataFrame, classes: DataFrame, labels: DataFrame, few: int
     able = stored(able.select("cls", "n", "common", "keys", "c0", "stands"), "able")
     stars = stored(able.where("stands").select(F.col("cls").alias("a"), F.col("c0").alias("b")), "stars")
     labels = relabelled(labels, stars)
-    rows = able.where("not stands").select("cls", "n", "common", F.inline("keys")).where(F.col("df") > few).select("x", "cls", "n", "common")
-    smallest = rows.groupBy("x").agg(F.min("n").alias("n0"))
-    rows = stored(rows.join(smallest, "x").where(_can_link(F.col("common"), F.col("n") + F.col("n0"))).drop("n0"), "common")
+    # a row's `common` counts the set's common shingles from this one on: more can't be shared if this is the first that is
+    rows = able.where("not stands").select("cls", "n", "common", F.posexplode("keys").alias("at", "x"))
+    rows = _trimmed(_trimmed(rows.select("x", "cls", "n", (F.col("common") - F.col("at")).alias("common"))))
     for _ in range(HUB_ROUNDS):
         rows, before = _mixed(rows, labels), rows
         drop_stored(before)
@@ -394,14 +403,14 @@ def _link_crowd(sets: DataFrame, classes: DataFrame, labels: DataFrame, few: int
         best = lambda where: F.max(F.when(where, F.struct((F.col("common") / F.col("n")).alias("share"), "n", "cls")))["cls"]
         hubs = rows.groupBy("x").agg(best(F.col("label") == F.col("main")).alias("h1"), best(F.col("label") != F.col("main")).alias("h2"))
         marked = rows.join(hubs, "x").withColumn("is_hub", (F.col("cls") == F.col("h1")) | (F.col("cls") == F.col("h2")))
-        before, marked = rows, stored(marked.select("x", "cls", "n", "common", "label", "is_hub"), "hubs")
+        before, marked = rows, stored(marked.select(*ROW, "label", "is_hub"), "hubs")
         drop_stored(before)
         labels = link(labels, _meet(marked.where("is_hub").drop("is_hub"), marked.drop("is_hub")))
         rows = marked.where("not is_hub")  # a hub has met all members of its key
     rows = _mixed(rows, labels)
     if rows.isEmpty():
         return labels
-    return link(labels, _meet(rows.where("label <> main").select("x", "cls", "n", "common", "label"), rows))
+    return link(labels, _meet(rows.where("label <> main"), rows))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
