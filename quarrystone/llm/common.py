@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +112,26 @@ def slices(offsets: np.ndarray, most: int = 1 << 20):
         lo = hi
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def starts_of(lengths: Column, block: int = 256) -> Column:
+    """Where parts of these lengths (one at least) begin: running sums, a block at a time, as each sum copies those before it."""
+
+    def sums(zero: Column, numbers: Column) -> Column:
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(numbers, F.struct(zero.cast("int").alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+    def of(numbers: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / block).cast("int")), lambda k: F.slice(numbers, k * block + 1, F.lit(block)))
+        tops = lambda parts: sums(F.lit(0), F.transform(parts, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + x)))
+        return let(blocks, lambda parts: F.flatten(F.zip_with(parts, tops(parts), lambda b, top: sums(top, b))))
+
+    return let(lengths, of)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64."""
     x = x ^ (x >> np.uint64(33))

@@ -4,9 +4,10 @@ Matches get positions by marking them in the text (a character that is first rem
 lengths of the pieces are code points. Candidate strings are runs of letters, digits and + / _ = - of at least
 `least` characters. A window slides over a candidate; the counts of its characters change by one in and one out a
 step, and with them the sum of c log2 c, which gives the entropy; no window is counted anew. That is done per class
-(hex digits; base64: letters and digits) with a threshold for each. Allow-listed strings (UUIDs, and strings made of one
-repeated part, sequences, plain words) are suppressed. A candidate whose best window passes is a span `entropy`,
-unless a base span overlaps it; base spans always stay.
+(hex digits of one case; base32; base64: letters and digits) with a threshold for each. Base spans and plain sequences end a
+candidate; what stands before or after them is judged for itself. Allow-listed strings (UUIDs, and strings made of one
+repeated part, digits, capitals, plain words) are suppressed. A candidate whose best window passes is a span `entropy`; base
+spans always stay.
 
 Cases: a null or empty text has no spans; repeated rows get equal results; an empty table gives an empty result;
 extra columns are ignored; positions are code points, ends exclusive.
@@ -19,32 +20,45 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import read_table, text_of
+from quarrystone.llm.common import let, read_table, starts_of, text_of
 
 ASSIGN = r"""(?i)((?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
 ACCESS = r"(AKIA[A-Z0-9]{12,})"
 HEX = r"([0-9a-f]{32,})"
 CANDIDATE = r"([A-Za-z0-9+/_=-]{%d,})"
 WINDOW, LEAST = 20, 20
-#: Least entropy of a window in bits, by class: lower hexadecimal digits; mixed letters and digits.
-HEX_BITS, MIXED_BITS = 3.0, 3.7
-ALLOW = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^(.{1,8})\1+.{0,8}$|^[0-9_=+/-]+$|^[A-Z]?[a-z]+([_/+=-][A-Za-z]?[a-z]*)*$|^[A-Z_/+=-]+$|0123456789|abcdefghij"
+#: Least entropy of a window in bits, by class: hexadecimal digits of one case; base32; mixed letters and digits.
+HEX_BITS, BASE32_BITS, MIXED_BITS = 3.0, 3.4, 3.7
+SEQUENCE = "(?i)(0123456789|abcdefghij)"
 MARK, SPARE = "\x01", "\x02"
 
 
-def spans_of(text: Column, pattern: str, kind: str, keep=lambda found: F.lit(True)) -> Column:
-    """array<struct<start, kind, end, found>> of the matches of the pattern's first group, leftmost and not overlapping.
+def _parts(text: Column, pattern: str) -> Column:
+    """The text in parts; those at odd places are the matches of the pattern's first group, leftmost and not overlapping.
 
     The mark is a control character that no pattern matches; where a text holds it, its neighbour stands in (same length)."""
-    parts = F.split(F.regexp_replace(F.translate(text, MARK, SPARE), pattern, f"{MARK}$1{MARK}"), MARK)
-    # fold: position so far, and the matches, which are the parts at odd places
-    step = lambda acc, part: F.struct(
-        (acc["at"] + F.length(part)).alias("at"),
-        (~acc["odd"]).alias("odd"),
-        F.when(acc["odd"] & keep(part), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), (acc["at"] + F.length(part)).alias("end"), part.alias("found"))))).otherwise(acc["out"]).alias("out"),
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.from_json(F.lit("[]"), SPAN).alias("out"))
-    return F.when(F.size(parts) > 1, F.aggregate(parts, zero, step, lambda acc: acc["out"])).otherwise(F.from_json(F.lit("[]"), SPAN))
+    return F.split(F.regexp_replace(F.translate(text, MARK, SPARE), pattern, f"{MARK}$1{MARK}"), MARK)
+
+
+def _every(found: Column) -> Column:
+    return F.lit(True)
+
+
+def spans_of(text: Column, pattern: str, kind: str, keep=_every) -> Column:
+    """array<struct<start, kind, end, found>> of the matches."""
+
+    def spans(parts: Column, at: Column) -> Column:
+        span = lambda part, i: F.struct(F.get(at, i).alias("start"), F.lit(kind).alias("kind"), (F.get(at, i) + F.length(part)).alias("end"), part.alias("found"))
+        return F.filter(F.transform(parts, lambda part, i: F.when((i % 2 == 1) & keep(part), span(part, i))), lambda x: x.isNotNull())
+
+    every = lambda parts: F.when(F.size(parts) > 1, let(starts_of(F.transform(parts, F.length)), lambda at: spans(parts, at))).otherwise(F.from_json(F.lit("[]"), SPAN))
+    return let(_parts(text, pattern), every)
+
+
+def masked(text: Column, pattern: str, keep=_every) -> Column:
+    """The text with the matches blotted out, of the same length."""
+    blot = lambda part, i: F.when((i % 2 == 1) & keep(part), F.repeat(F.lit(SPARE), F.length(part))).otherwise(part)
+    return F.array_join(F.transform(_parts(text, pattern), blot), "")
 
 
 SPAN = "array<struct<start:int,kind:string,end:int,found:string>>"
@@ -80,7 +94,22 @@ def best_entropy(word: Column, window: int = WINDOW) -> Column:
     return F.when(low < 1e9, F.lit(math.log2(window)) - low / window).otherwise(F.lit(0.0))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least: int = LEAST, hex_bits: float = HEX_BITS, mixed_bits: float = MIXED_BITS, allow: str = ALLOW) -> DataFrame:
+def allowed(word: Column) -> Column:
+    """Strings that are no secrets: UUIDs, digits, capitals, plain words, and strings of one repeated part. Every test takes time
+    in proportion to the string."""
+    uuid = word.rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
+    plain = word.rlike(r"^[A-Za-z][A-Za-z_/+=-]*$") & ~word.rlike("[A-Za-z][A-Z]")
+    head = F.left(word, F.length(word) - 8)  # what follows the last whole part may differ
+    repeated = F.lit(False)
+    for k in range(1, 9):
+        again = F.left(F.repeat(F.left(word, F.lit(k)), (F.length(word) / k).cast("int") + 1), F.length(word) - 8)
+        repeated = repeated | ((F.length(word) >= 2 * k + 8) & (head == again))
+    return uuid | word.rlike("^(?:[0-9_=+/-]+|[A-Z_/+=-]+)$") | plain | repeated
+
+
+def find_secrets(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least: int = LEAST, hex_bits: float = HEX_BITS, base32_bits: float = BASE32_BITS, mixed_bits: float = MIXED_BITS
+) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_entropy."""
     group2 = lambda found: F.length(F.regexp_extract(found, ASSIGN, 2)) >= 8
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
@@ -88,21 +117,23 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # cheap tests first: most texts hold no separator after a key word, and no long run
     has_key = F.lower("text").rlike(r"(?:passw|secret|token|api_?key)")
     has_run = F.col("text").rlike(r"[A-Za-z0-9+/_=-]{%d}" % min(16, least))
-    rows = rows.select("doc_id", "text", has_run.alias("has_run"), F.when(has_key, spans_of(F.col("text"), ASSIGN, "assign", group2)).otherwise(none).alias("assign"))
+    rows = rows.select("doc_id", "text", has_key.alias("has_key"), has_run.alias("has_run"))
+    bare = F.when(F.col("has_key"), masked(F.col("text"), ASSIGN, group2)).otherwise(F.col("text"))
+    bare = masked(masked(masked(bare, ACCESS), HEX), SEQUENCE)
     rows = rows.select(
         "doc_id",
-        "assign",
+        F.when(F.col("has_key"), spans_of(F.col("text"), ASSIGN, "assign", group2)).otherwise(none).alias("assign"),
         F.when(F.col("has_run"), spans_of(F.col("text"), ACCESS, "access")).otherwise(none).alias("access"),
         F.when(F.col("has_run"), spans_of(F.col("text"), HEX, "hex")).otherwise(none).alias("hex"),
-        F.when(F.col("has_run"), spans_of(F.col("text"), CANDIDATE % least, "entropy", lambda found: ~found.rlike(allow))).otherwise(none).alias("candidates"),
+        F.when(F.col("has_run"), spans_of(bare, CANDIDATE % least, "entropy", lambda found: ~allowed(found))).otherwise(none).alias("candidates"),
     )
     rank = lambda x: F.when(x["kind"] == "assign", 0).when(x["kind"] == "access", 1).when(x["kind"] == "hex", 2).otherwise(3)
     order = lambda spans: F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), rank(x).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))))
     said = lambda spans: F.array_join(F.transform(order(spans), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     rows = rows.withColumn("base", F.concat("assign", "access", "hex"))
-    clear = lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    needed = lambda x: F.when(x["found"].rlike("^[0-9a-f]+$"), F.lit(hex_bits)).otherwise(F.lit(mixed_bits))
-    rows = rows.withColumn("entropy", F.filter("candidates", lambda x: clear(x) & (best_entropy(x["found"], window) >= needed(x))))
+    # classes: lower and upper hexadecimal digits, base32, then mixed letters and digits
+    needed = lambda x: F.when(x["found"].rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit(hex_bits)).when(x["found"].rlike("^[A-Z2-7]+=*$"), F.lit(base32_bits)).otherwise(F.lit(mixed_bits))
+    rows = rows.withColumn("entropy", F.filter("candidates", lambda x: best_entropy(x["found"], window) >= needed(x)))
     return rows.select(
         "doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],
