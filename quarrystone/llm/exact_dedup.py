@@ -21,6 +21,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 from quarrystone.llm.common import binary_buffers, read_table, slices, small_batches, stored, text_of
 
 LEAST, MEAN_BITS, MOST = 256, 10, 16384
+#: Rows from which a group of equal documents is large, and how many large groups may be broadcast.
+LARGE, MOST_LARGE = 1000, 1000
 
 
 def cut_points(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -69,7 +71,7 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_chunks."""
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     cut = _chunked(docs, id_col, text_col)
     # distinct chunks, combined map-side; only their 8-byte hashes move again to find contents that share one
     contents = cut.select(F.explode("chunks").alias("chunk")).select(F.xxhash64("chunk").alias("h"), "chunk").distinct()
@@ -82,10 +84,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     if not shared.isEmpty():
         recipes = _ranked(cut, shared)
-    recipes = recipes.select("doc_id", "sha", F.size("recipe").alias("n_chunks"), "recipe")
+    # cut once: from here on a document is its recipe, which the two readers below share
+    recipes = stored(recipes.select("doc_id", "sha", "recipe", F.xxhash64("recipe").alias("h")), "recipes")
     groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("top"), F.count("*").alias("n")).where("n > 1")
-    groups = groups.select(F.col("recipe").alias("same"), "top", "n")
-    joined = recipes.join(groups, F.col("recipe") == F.col("same"), "left")
+    groups = stored(groups.select(F.col("recipe").alias("same"), F.xxhash64("recipe").alias("g"), "top", "n"), "groups")
+    # rows of large groups, which may be a third of all, meet their group's row in their own task; there is room for a bounded number
+    large = groups.where(F.col("n") > LARGE)
+    few = large.limit(MOST_LARGE + 1).count() <= MOST_LARGE
+    match = (F.col("h") == F.col("g")) & (F.col("recipe") == F.col("same"))
+    if few:
+        met = recipes.join(F.broadcast(large), match, "left")
+        rest = met.where("n is null").select(*recipes.columns).join(groups.where(F.col("n") <= LARGE), match, "left")
+        joined = met.where("n is not null").unionByName(rest)
+    else:
+        joined = recipes.join(groups, match, "left")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top"))
     return joined.select(
         "doc_id",
@@ -93,7 +105,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
-        "n_chunks",
     )
 
 

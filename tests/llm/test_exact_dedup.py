@@ -54,3 +54,12 @@ def test_cuts_follow_content():
 
 def test_empty(spark):
     assert exact_dedup.exact_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_large_groups_are_broadcast_or_not(spark, monkeypatch):
+    rows = [(i, f"text {i % 3}") for i in range(60)] + [(100 + i, f"own {i}") for i in range(20)] + [(200 + i, "pair") for i in range(2)]
+    want = sorted(brute(rows), key=str)
+    for large, most in ((10, 5), (10, 2), (1, 100), (1000, 5)):
+        monkeypatch.setattr(exact_dedup, "LARGE", large)
+        monkeypatch.setattr(exact_dedup, "MOST_LARGE", most)
+        assert rows_of(exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"))) == want
