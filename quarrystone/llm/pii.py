@@ -2,8 +2,8 @@
 
 The network is trained in numpy from labelled spans (made-up contexts that hold e-mail addresses, IPs, cards and phone
 numbers in many spellings, and look-alikes that are none). It reads a text where one of the four kinds can be at all:
-around every digit, every @ and every spelled-out "(at)" or "dot"; elsewhere every label but O is forbidden, so this
-loses nothing. Overlapping windows of a stretch give label scores that are averaged, weighted by the distance from the
+around every digit, every @ and every whole string of the form of an address with spelled-out signs, in any case, as what it
+marks elsewhere wouldn't be well-formed. Overlapping windows of a stretch give label scores that are averaged, weighted by the distance from the
 window's edge, and one Viterbi pass over the whole stretch reconciles them. What it finds is kept if it is
 well-formed (digits, Luhn, parts up to 255) and touches no base span; base spans always stay.
 
@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,8 @@ from quarrystone.llm.common import read_table, small_batches, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, MARGIN = 64, 32, 24
+#: Characters on either side of an at sign whose labels decide about the string around it.
+NEAR = 8
 HIDDEN, EMBED, LABELS, CHARS = 16, 12, 1 + 2 * len(KINDS), 100
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -37,7 +41,10 @@ IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TRIGGER = re.compile(r"[0-9@]|[(\[{](?:at|dot)[)\]}]| dot ")
+TRIGGER = re.compile(r"[0-9@]")
+#: An address whose at sign or dots may be spelled out: what stands between its local part and domain, and the domain.
+AT = re.compile(r" ?[(\[{] ?at ?[)\]}] ?| at | ?@ ?", re.IGNORECASE)
+SPELLED = re.compile(r"[A-Za-z0-9-]+(?: ?(?:\.|[(\[{] ?dot ?[)\]}]| dot ) ?[A-Za-z0-9-]+)+", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -186,8 +193,14 @@ def _digits(rng: random.Random, n: int) -> str:
 def _entity(rng: random.Random, kind: int) -> str:
     if kind == 0:
         name = rng.choice(["", ".", "_"]).join(_word(rng).strip(",.#!").lower().encode("ascii", "ignore").decode() or "a" for _ in range(rng.randint(1, 2))) + rng.choice(["", "." + _digits(rng, 2), _digits(rng, 1)])
-        host, top = rng.choice(["mail", "post", "inbox"]) + rng.choice(["", _digits(rng, 1)]), rng.choice(["com", "org", "net", "example.com"])
-        return rng.choice([f"{name}@{host}.{top}"] * 2 + [f"{name} (at) {host}.{top}", f"{name}[at]{host}[dot]{top}", f"{name} (at) {host} (dot) {top}", f"{name} at {host} dot {top}"])
+        plain = lambda: _word(rng).strip(",.#!").lower().encode("ascii", "ignore").decode() or "b"
+        name = rng.choice([name] * 5 + [plain() * rng.randint(2, 9), rng.choice("abcxyz"), plain().capitalize() + "_" + plain().capitalize()])
+        host = rng.choice([rng.choice(["mail", "post", "inbox"]), plain(), plain() + "-" + plain(), plain() * rng.randint(2, 6)]) + rng.choice(["", "", _digits(rng, 1)])
+        top = rng.choice(["com", "org", "net", "example.com", plain()[:2] + "." + plain()[:2], plain()[:2], plain()[:4]])
+        case = rng.choice([str.lower, str.lower, str.upper])
+        at, dot = case(rng.choice([" (at) ", "(at)", "[at]", " [at] ", " at ", " at ", " at ", " ( at ) ", "{at}"])), case(rng.choice([" (dot) ", "(dot)", "[dot]", " [dot] ", " dot ", " ( dot ) ", "{dot}"]))
+        top = top.replace(".", rng.choice([dot, "."]))
+        return rng.choice([f"{name}@{host}.{top}", f"{name}{at}{host}.{top}", f"{name}{at}{host}{dot}{top}", f"{name}{at}{host}{dot}{top}"])
     if kind == 1:
         return rng.choice([".", ".", ".", "[.]", " . "]).join(str(rng.randint(0, 255)) for _ in range(4))
     if kind == 2:
@@ -231,7 +244,7 @@ def labelled_windows(rng: random.Random, n: int) -> tuple[np.ndarray, np.ndarray
 
 
 @functools.lru_cache(maxsize=2)
-def trained(seed: int = 1, steps: int = 400, batch: int = 48) -> dict[str, np.ndarray]:
+def trained(seed: int = 1, steps: int = 600, batch: int = 48) -> dict[str, np.ndarray]:
     """Parameters after Adam over made-up windows; a pure function of its arguments."""
     rng, rows = np.random.default_rng(seed), random.Random(seed)
     p = _start(rng)
@@ -266,13 +279,26 @@ def viterbi(scores: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> np.nd
     return out
 
 
+def spelled(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, end, start and end of the at sign) of all strings of the form of an address, whatever way its signs are written."""
+    out, end = [], 0
+    for m in AT.finditer(text):
+        start = m.start()
+        while start > end and text[start - 1] in LOCAL:
+            start -= 1
+        if start < m.start() and (domain := SPELLED.match(text, m.end())):
+            end = domain.end()
+            out.append((start, end, m.start(), m.end()))
+    return out
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Merged surroundings of all places where a kind can be."""
+    """Merged surroundings of all places where a kind can be: of digits, of @, and of whole spelled-out addresses."""
     out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+    for start, end in sorted([m.span() for m in TRIGGER.finditer(text)] + [x[:2] for x in spelled(text)]):
+        a, b = max(0, start - MARGIN), min(len(text), end + MARGIN)
         if out and a <= out[-1][1]:
-            out[-1][1] = b
+            out[-1][1] = max(out[-1][1], b)
         else:
             out.append([a, b])
     return [(a, b) for a, b in out]
@@ -315,7 +341,7 @@ def label_stretches(p: dict, codes: list[np.ndarray]) -> list[np.ndarray]:
 def well_formed(kind: int, found: str) -> bool:
     digits = re.sub(r"[^0-9]", "", found)
     if kind == 0:
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[{] ?at ?[)\]}]| at ) ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[{] ?dot ?[)\]}]| dot ) ?[A-Za-z0-9-]+)+", found))
+        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[{] ?at ?[)\]}]| at ) ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[{] ?dot ?[)\]}]| dot ) ?[A-Za-z0-9-]+)+", found, re.IGNORECASE))
     if kind == 1:
         return bool(re.fullmatch(r"[0-9]{1,3}(?: ?\[?\.\]? ?[0-9]{1,3}){3}", found)) and all(int(x) <= 255 for x in re.findall("[0-9]+", found))
     if kind == 2:
@@ -323,21 +349,39 @@ def well_formed(kind: int, found: str) -> bool:
     return bool(re.fullmatch(r"\+?[(0-9][0-9() .-]+[0-9]", found)) and 8 <= len(digits) <= 15 and any(c in found for c in "+-(. ")
 
 
-def found_spans(text: str, at: list[tuple[int, int]], labels: list[np.ndarray], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Well-formed spans that touch neither a base span nor, on either side, a letter or digit."""
-    out = []
+def _marked_forms(text: str, at: list[tuple[int, int]], labels: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+    """Strings of the form of an address that are marked as one around the at sign, in half of the places at least; what their far
+    ends are marked as doesn't matter, so they may be longer than a window."""
+    forms = spelled(text)
+    for (a, b), label in zip(at, labels, strict=True):
+        for s, e, first, last in forms[bisect_left(forms, (a,)) : bisect_left(forms, (b,))]:
+            near = (label[max(s, first - NEAR) - a : min(e, last + NEAR) - a] + 1) // 2
+            if 2 * np.count_nonzero(near == 1) >= len(near):
+                yield 0, s, e
+
+
+def _marked(text: str, at: list[tuple[int, int]], labels: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+    """(kind, start, end) of the spans that the labels mark, without blanks and points at their ends."""
     for (a, _), label in zip(at, labels, strict=True):
         kinds = (label + 1) // 2
-        begins = np.flatnonzero((kinds > 0) & ((label % 2 == 1) | (np.diff(kinds, prepend=0) != 0)))
-        for s in begins:
+        for s in np.flatnonzero((kinds > 0) & ((label % 2 == 1) | (np.diff(kinds, prepend=0) != 0))):
             e = s + 1
             while e < len(label) and label[e] == 2 * kinds[s]:
                 e += 1
-            s, e, kind = int(a + s), int(a + e), int(kinds[s]) - 1
-            inner = text[s:e]
-            s, e = s + len(inner) - len(inner.lstrip(" ,.;")), e - len(inner) + len(inner.rstrip(" ,.;"))
-            free = not any(s < y and x < e for _, x, y in base) and not (s and text[s - 1].isalnum()) and not (e < len(text) and text[e].isalnum())
-            if s < e and free and well_formed(kind, text[s:e]):
+            inner = text[a + s : a + e]
+            yield int(kinds[s]) - 1, int(a + s) + len(inner) - len(inner.lstrip(" ,.;")), int(a + e) - len(inner) + len(inner.rstrip(" ,.;"))
+
+
+def found_spans(text: str, at: list[tuple[int, int]], labels: list[np.ndarray], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Well-formed spans that touch neither a base span nor one found before nor, on either side, a letter or digit."""
+    out: list[tuple[int, int, int]] = []
+    for some in (_marked_forms, _marked):
+        taken = sorted((a, b) for _, a, b in base + out)
+        reach = list(itertools.accumulate((b for _, b in taken), max))  # the furthest end of the spans up to each
+        for kind, s, e in some(text, at, labels):
+            k = bisect_left(taken, (e, 0))  # spans that start before e
+            apart = not (k and reach[k - 1] > s) and not (s and text[s - 1].isalnum()) and not (e < len(text) and text[e].isalnum())
+            if s < e and apart and well_formed(kind, text[s:e]):
                 out.append((kind, s, e))
     return out
 

@@ -60,3 +60,22 @@ def test_overlapping_windows_agree_with_one_long_stretch():
     labels = pii.label_stretches(p, [pii._codes(text)])[0]
     at = text.index("3782")
     assert set(labels[at : at + 15]) <= {5, 6} and set(labels[: at - 1]) == {0}
+
+
+def test_recall_of_spelled_out_addresses():
+    """Whole spans, in forms and words that aren't those of the training windows."""
+    rng, p, found, asked = random.Random(12), pii.trained(), 0, 0
+    names, hosts = ["john.smith", "Anna_Lee", "quentin-zhao9", "x", "a" * 60, "o.brien.k"], ["company", "uni-hamburg", "freewebmail2", "b" * 50]
+    for at in (" (at) ", "(AT)", " [at] ", "{at}", " ( at ) ", " at ", " AT "):
+        for dot in (" (dot) ", "[DOT]", ".", " dot ", " ( dot ) ", " DOT "):
+            for _ in range(6):
+                address = rng.choice(names) + at + rng.choice(hosts) + dot + rng.choice(["de", "co" + dot + "uk", "info"])
+                text = "Bitte schreiben Sie an " + address + " if you know, we wrote it down."
+                s = pii.stretches(text)
+                spans = pii.found_spans(text, s, pii.label_stretches(p, [pii._codes(text[a:b]) for a, b in s]), pii.base_spans(text))
+                start = text.index(address)
+                asked, found = asked + 1, found + ((0, start, start + len(address)) in spans)
+    assert found >= 0.9 * asked, (found, asked)
+    for text in ("We meet at home. Then we went at noon dot", "look at this at the end. At last", "a at b"):
+        s = pii.stretches(text)
+        assert pii.found_spans(text, s, pii.label_stretches(p, [pii._codes(text[a:b]) for a, b in s]), []) == []
