@@ -13,6 +13,8 @@ an empty table gives an empty result; extra columns are ignored. Very long texts
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,28 +37,44 @@ class Model:
     scripts: np.ndarray  # (ranges, languages) whether a language uses a script
 
 
-def _letters(raw: np.ndarray) -> np.ndarray:
-    """Which bytes belong to letters: A-Z, a-z, and the sequences of characters beyond ASCII that are no punctuation."""
+@functools.lru_cache(maxsize=1)
+def _categories() -> np.ndarray:
+    """By code point: 1 a letter, 2 a mark, which belongs to the letter before it, else 0."""
+    return np.array([{"L": 1, "M": 2}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], np.uint8)
+
+
+def _letters(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which bytes belong to letters, by Unicode category; marks do if they follow a letter of their row."""
     lower = raw | 0x20
     mask = (lower >= 97) & (lower <= 122)
-    high = np.flatnonzero(raw >= 0x80)
-    if len(high):
-        mask[high] = True
-        lead = raw[high]
-        # U+0080..U+00BF and U+2000..U+206F, punctuation and signs
-        for first, second, n in ((0xC2, None, 2), (0xE2, (0x80, 0x81), 3), (0xE3, (0x80,), 3), (0xEF, (0xBC, 0xBB), 3)):
-            at = high[lead == first]
-            at = at[at + n <= len(raw)]
-            if second:
-                at = at[np.isin(raw[at + 1], second)]
-            for k in range(n):
-                mask[at + k] = False
+    lead = np.flatnonzero(raw >= 0xC0)
+    if len(lead):
+        b = [raw[np.minimum(lead + k, len(raw) - 1)].astype(np.int64) for k in range(4)]
+        size = 2 + (b[0] >= 0xE0) + (b[0] >= 0xF0)
+        two, three, four = (b[0] & 31) << 6 | b[1] & 63, (b[0] & 15) << 12 | (b[1] & 63) << 6 | b[2] & 63, (b[0] & 7) << 18 | (b[1] & 63) << 12 | (b[2] & 63) << 6 | b[3] & 63
+        kind = _categories()[np.minimum(np.where(size == 2, two, np.where(size == 3, three, four)), 0x10FFFF)]
+
+        def put(some: np.ndarray) -> None:
+            for k in range(4):
+                at = lead[some] + k
+                mask[at[(k < size[some]) & (at < len(raw))]] = True
+
+        put(np.flatnonzero(kind == 1))
+        marks = np.flatnonzero(kind == 2)
+        first = np.zeros(len(raw) + 1, bool)
+        first[offsets] = True
+        while len(marks):  # a run of marks takes a step for each
+            follows = mask[lead[marks] - 1] & (lead[marks] > 0) & ~first[lead[marks]]
+            if not follows.any():
+                break
+            put(marks[follows])
+            marks = marks[~follows]
     return mask
 
 
 def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of runs of letters; runs don't cross rows."""
-    mask = _letters(raw)
+    mask = _letters(raw, offsets)
     inner = offsets[1:-1]
     inner = inner[(inner > 0) & (inner < len(raw))]
     step = np.diff(mask.astype(np.int8), prepend=0, append=0)

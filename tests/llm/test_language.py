@@ -58,3 +58,26 @@ def test_held_out_accuracy(spark):
     held = docs.where(language.fold() == 0)
     out = language.predict(held, model).join(held.select("doc_id", "lang"), "doc_id").selectExpr("avg(double(lang = lang_pred))").first()[0]
     assert out > 0.97
+
+
+def test_letters_by_category():
+    import unicodedata
+
+    import numpy as np
+
+    for text in ("→ ✓ 😀", "5 € → 😀 12", "٣٤", "№ ™ x", "µ ª", "ＡＢ", "々", "ﻼ", "नमस्ते ा", "é\u0301x", "\u0301a", "𐍈𝔸"):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        mask, want, after = language._letters(raw, np.array([0, len(raw)])), [], False
+        for c in text:
+            kind = unicodedata.category(c)[0]
+            after = kind == "L" or (kind == "M" and after)
+            want += [after] * len(c.encode())
+        assert mask.tolist() == want, text
+
+
+def test_texts_without_letters_are_und(spark):
+    rows = [("the of ing tion " * 5, 1, "en", None), ("der keit ung " * 5, 2, "de", None)]
+    model = language.train(spark.createDataFrame(rows, SCHEMA))
+    asked = [(t, i, None, None) for i, t in enumerate(["→ ✓ 😀", "5 € → 😀 12", "٣٤", "\u0301", "µ", "ＡＢ"])]
+    out = {r.doc_id: r.lang_pred for r in language.predict(spark.createDataFrame(asked, SCHEMA), model).collect()}
+    assert [out[k] == "und" for k in range(6)] == [True] * 4 + [False] * 2
