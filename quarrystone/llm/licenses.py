@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import read_table, text_of
+from quarrystone.llm.common import let, read_table, starts_of, text_of
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,10 +68,9 @@ def _places(joined: Column, phrase: str) -> Column:
     pattern = f"(?<= ){body[0]}(?= {' '.join(body[1:])} )" if len(body) > 1 else f"(?<= ){body[0]}(?= )"
     parts = F.split(joined, pattern)
     blanks = lambda p: F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit("")))
-    step = lambda acc, p: F.struct((acc["at"] + blanks(p)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + blanks(p) - 1)).alias("out"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    found = F.aggregate(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), zero, step, lambda acc: acc["out"])
-    return F.when(F.size(parts) > 1, found).otherwise(F.array().cast("array<int>"))
+    # the blanks before a place, but for the first one, are the words before it: the sum over the parts up to there
+    found = lambda p: F.transform(F.slice(starts_of(F.transform(p, blanks)), 2, F.size(p)), lambda at: at - 1)
+    return let(parts, lambda p: F.when(F.size(p) > 1, found(p)).otherwise(F.array().cast("array<int>")))
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
