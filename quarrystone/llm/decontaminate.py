@@ -10,7 +10,8 @@ an item if at least `share` of the item's words lie in matched windows with cons
 
 Cases: null or empty texts and items match nothing; an item shorter than a window is one window of its own
 length (its length joins with documents' windows of that length); windows of mostly placeholders are used as plain words only,
-unless the item's others cover less than `share` of it; runs of white space are one blank; items with equal canonical words are all reported; repeated rows count once; rows with a null
+unless the item's others cover less than `share` of it; runs of white space are one blank; items with equal canonical words are all reported; repeated rows count once; items that share an id count as one, of the
+longest one's length; rows with a null
 doc_id can't be reported; extra columns are ignored; empty tables give an empty result.
 """
 
@@ -104,11 +105,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     diagonal = matches.groupBy("doc_id", "item_id", "n", "k", (F.col("pos") - F.col("ipos")).alias("diag")).agg(F.collect_set("ipos").alias("at"), F.max("slotted").alias("slotted"))
     diagonal = diagonal.select("doc_id", "item_id", "n", "k", "diag", "slotted", F.col("at").alias("starts"), _reach(F.col("at")).alias("at"))
     # alignments that could matter, before texts are read again for their slots
-    enough = diagonal.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("reach"), F.first("n").alias("whole")).where(F.col("reach") >= F.col("whole") * share)
+    enough = diagonal.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("reach"), F.max("n").alias("whole")).where(F.col("reach") >= F.col("whole") * share)
     diagonal = stored(diagonal.join(enough.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi"), "diagonals")
     checked = _slots(diagonal.where("slotted"), docs, benchmark, id_col, text_col, item_col, item_text_col)
     simple = diagonal.where("not slotted").select("doc_id", "item_id", "n", "at", F.lit(0).alias("n_slots"), F.lit(True).alias("same"))
-    total = simple.unionByName(checked).groupBy("doc_id", "item_id").agg(F.first("n").alias("item_words"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("covered"), F.sum("n_slots").alias("n_slots"), F.min("same").alias("same_slots"))
+    total = simple.unionByName(checked).groupBy("doc_id", "item_id").agg(F.max("n").alias("item_words"), F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("covered"), F.sum("n_slots").alias("n_slots"), F.min("same").alias("same_slots"))
     return total.where(F.col("covered") >= F.col("item_words") * share).withColumn("share", F.col("covered") / F.col("item_words"))
 
 
