@@ -1,7 +1,8 @@
 """WARC archives with one Zstandard dictionary each.
 
 Pages are dealt by hash into archives of about `archive_mb` of payload. A task takes the records of an archive in blocks of
-bounded size, builds a dictionary from records spread over the block (at most `train_bytes` of them), puts it in a
+bounded size, builds a dictionary from records spread over the block (at most `train_bytes` of them, of each the first 16,384 bytes;
+only the dictionary depends on that, records are written whole), puts it in a
 leading skippable frame (magic 0x184D2A5D) and compresses every record as a frame of its own. Of records with equal
 payloads, the one with the largest id is a response; the others become revisit records, which hold no payload.
 An archive is a row (archive, content), stored as Parquet in the shared folder, since only Spark's own writers reach every
