@@ -58,8 +58,9 @@ def after_marker(path: Column, marker: str) -> Column:
 
 
 def validity(size: Column, width: Column, height: Column, decodable: Column, max_bytes: int, max_pixels: int) -> Column:
-    """The first check that fails, in this order, else 'ok'. Limits are strict: a value equal to one is fine."""
-    return F.when(size > max_bytes, "too_large").when(~decodable, "unreadable").when(width * height > max_pixels, "too_many_pixels").otherwise("ok")
+    """The first check that fails, in this order, else 'ok'. Limits are strict: a value equal to one is fine. A header may give
+    the size of an image that can't be decoded, so pixels are counted first."""
+    return F.when(size > max_bytes, "too_large").when(width * height > max_pixels, "too_many_pixels").when(~decodable, "unreadable").otherwise("ok")
 
 
 def report_rows(stage: str, rows: DataFrame) -> DataFrame:

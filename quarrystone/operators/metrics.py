@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 EXACT = "decimal(30,10)"
 
@@ -44,13 +49,48 @@ def moments(rows: DataFrame, vector: str, keys: list[str] | None = None) -> Data
     return out.select(*(keys or []), "dim", "n", F.try_divide("s", "n").alias("mean"), F.try_divide(F.col("q") - F.try_divide(F.col("s") * F.col("s"), F.col("n")), F.col("n") - 1).alias("var"))
 
 
+#: Most (key, vector length) pairs whose sums a task holds before it gives them away.
+HELD = 256
+
+
+def _partial_sums(names: list[str], kinds: list):
+    """Sums of values and products of a task's vectors, by key and vector length, as rows of the upper triangle."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for (*key, d), (n, sums, products) in held.items():
+                i, j = np.triu_indices(d)
+                own = [pa.array([k] * len(i), kind) for k, kind in zip(key, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(np.full(len(i), n)), *map(pa.array, (sums[i], sums[j], products[i, j]))], [*names, "i", "j", "n", "sx", "sy", "sxy"])
+            held.clear()
+
+        for batch in batches:
+            values, sizes = batch.column(len(names)).flatten().to_numpy(zero_copy_only=False), batch.column(len(names)).value_lengths().to_numpy()
+            ends, members = np.cumsum(sizes), {}
+            for row, key in enumerate(zip(*(batch.column(k).to_pylist() for k in range(len(names))), sizes.tolist(), strict=True)):
+                members.setdefault(key, []).append(row)
+            for key, rows in members.items():
+                d = key[-1]
+                vectors = values[(ends[rows] - d)[:, None] + np.arange(d)]
+                before = held.get(key, (0, 0.0, 0.0))
+                held[key] = [before[0] + len(rows), before[1] + vectors.sum(0), before[2] + vectors.T @ vectors]
+            if len(held) > HELD:
+                yield from given()
+        yield from given()
+
+    return summed
+
+
 def covariance(rows: DataFrame, vector: str, keys: list[str] | None = None) -> DataFrame:
-    """(keys, i, j, cov) for i <= j over rows without NaN. A row gives d * (d + 1) / 2 products, summed map-side."""
+    """(keys, i, j, cov) for i <= j over rows without NaN. A task gives d * (d + 1) / 2 sums a key, whatever the number of its rows."""
     keys = keys or []
     clean = rows.where(~F.exists(vector, lambda x: x.isNull() | F.isnan(x))).select(*keys, F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    parts = clean.select(*keys, F.posexplode("v").alias("i", "x"), "v").select(*keys, "i", "x", F.posexplode(F.slice("v", F.col("i") + 1, F.size("v"))).alias("k", "y"))
-    exact = lambda c: F.sum(c.cast("decimal(28,12)")).cast("double")
-    sums = parts.groupBy(*keys, "i", (F.col("i") + F.col("k")).alias("j")).agg(F.count("*").alias("n"), exact(F.col("x")).alias("sx"), exact(F.col("y")).alias("sy"), exact(F.col("x") * F.col("y")).alias("sxy"))
+    kinds = [to_arrow_type(clean.schema[k].dataType) for k in keys]
+    schema = StructType([*(clean.schema[k] for k in keys), *StructType.fromDDL("i int, j int, n long, sx double, sy double, sxy double")])
+    parts = clean.mapInArrow(_partial_sums(keys, kinds), schema)
+    sums = parts.groupBy(*keys, "i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy")])
     return sums.select(*keys, "i", "j", F.try_divide(F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n"), F.col("n") - 1).alias("cov"))
 
 

@@ -186,10 +186,10 @@ def lr_warmup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(300).select(F.col("id").alias("step"), F.round(scalars.warmup(F.col("id"), F.lit(0.01), 100), 10).alias("lr"))
 
 
-@query("SELECT doc_id, substr(lower(regexp_replace(left(coalesce(text, ''), 200), '\\W+', '_', 'g')), 1, 50) AS slug FROM documents")
+@query("SELECT doc_id, substr(lower(regexp_replace(coalesce(text, ''), '\\W+', '_', 'g')), 1, 50) AS slug FROM documents")
 def prompt_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A slug has 50 characters, and a run of any length counts as one; the feature itself looks at a title's 200 characters."""
-    return table(spark, sf_dir, "documents").select("doc_id", scalars.prompt_slug(F.left(F.coalesce("text", F.lit("")), F.lit(200)), unicode=False).alias("slug"))
+    """A slug has 50 characters, and a run of any length counts as one."""
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.prompt_slug(F.coalesce("text", F.lit("")), unicode=False).alias("slug"))
 
 
 @query("SELECT page_id, coalesce(nullif(regexp_replace(trim(url), '[^\\w.-]', '_', 'g'), ''), 'run') AS slug, regexp_extract(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '([^/]*)$', 1) AS name FROM pages")

@@ -12,7 +12,7 @@ from quarrystone.plans.base import FILES_SQL, files, query, table
 IMAGES = [".png", ".jpg", ".jpeg", ".webp"]
 MAX_BYTES, MAX_PIXELS, MAX_SUM = 8000, 12_000, 900
 
-STATUS_SQL = f"CASE WHEN size_bytes > {MAX_BYTES} THEN 'too_large' WHEN NOT decodable THEN 'unreadable' WHEN width * height > {MAX_PIXELS} THEN 'too_many_pixels' ELSE 'ok' END"
+STATUS_SQL = f"CASE WHEN size_bytes > {MAX_BYTES} THEN 'too_large' WHEN width * height > {MAX_PIXELS} THEN 'too_many_pixels' WHEN NOT decodable THEN 'unreadable' ELSE 'ok' END"
 IMAGE_SQL = "lower(regexp_extract(path, '(\\.[^./]+)$', 1)) IN ('.png', '.jpg', '.jpeg', '.webp')"
 
 
@@ -194,9 +194,9 @@ def ordered_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.min("event_id").alias("first_id"))
 
 
-@query(f"WITH {FILES_SQL} SELECT 'src' AS common_chars, (SELECT count(DISTINCT source) FROM documents) AS folders FROM files LIMIT 1")
+@query("SELECT DISTINCT coalesce(source, '') AS folder FROM documents")
 def distinct_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").agg(F.count_distinct("source").alias("folders")).select(F.lit("src").alias("common_chars"), "folders")
+    return table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("folder")).distinct().orderBy("folder")
 
 
 @query("SELECT * FROM (SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) AS pos, (row_number() OVER (ORDER BY o_orderkey) - 1) % 7 AS rank FROM orders)")

@@ -62,9 +62,9 @@ def test_division_and_matching(spark):
 
 
 def test_limits(spark):
-    df = spark.createDataFrame([(10, 3, 4, True), (11, 3, 4, True), (10, 3, 5, True), (10, 3, 4, False), (None, 1, 1, True)], "s long, w int, h int, ok boolean")
+    df = spark.createDataFrame([(10, 3, 4, True), (11, 3, 4, True), (10, 3, 5, True), (10, 3, 4, False), (None, 1, 1, True), (10, 3, 5, False), (10, None, None, False)], "s long, w int, h int, ok boolean")
     got = [r.v for r in df.select(curate.validity(F.col("s"), F.col("w"), F.col("h"), F.col("ok"), 10, 12).alias("v")).collect()]
-    assert got == ["ok", "too_large", "too_many_pixels", "unreadable", "ok"]
+    assert got == ["ok", "too_large", "too_many_pixels", "unreadable", "ok", "too_many_pixels", "unreadable"]
     report = spark.createDataFrame([("v", "a", 10, 3, 4, None), ("v", "b", 10, 3, 5, None), ("v", "c", 10, None, 1, None), ("w", "d", 1, 1, 1, None)], "stage string, path string, size_bytes long, width int, height int, over_limit boolean")
     assert [r.path for r in curate.filter_manifest(report, "v", 10, 7).collect()] == ["a"]
     with pytest.raises(ValueError):
