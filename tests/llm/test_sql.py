@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 
 from quarrystone.llm import registry
@@ -16,6 +17,6 @@ def test_sql(spark, name):
     theirs = con.execute(registry.ORACLES[name]).fetchdf()
     assert sorted(theirs.columns) == columns
     # pandas may read whole numbers beside nulls as floats
-    plain = lambda x: None if x is None or x != x else int(x) if isinstance(x, float) and x == int(x) else x
+    plain = lambda x: None if pd.isna(x) else int(x) if isinstance(x, float) and x == int(x) else x
     rows = lambda table: sorted(str([plain(x) for x in r]) for r in table[columns].astype(object).values.tolist())
     assert rows(own.toPandas()) == rows(theirs)
