@@ -20,10 +20,19 @@ def numbered(df: DataFrame, *order: str | Column, name: str = "pos") -> DataFram
     return parts.withColumn(name, local.cast("long")).join(F.broadcast(offsets), "__part").withColumn(name, F.col(name) + F.col("__offset")).drop("__part", "__offset")
 
 
-def ranked(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
-    """df with `pos` (0-based, in its key) and `size` (rows of the key). A key may span many tasks."""
+def ranked(df: DataFrame, keys: list[str], *order: str | Column, few: int = 200_000, block: int = 65_536) -> DataFrame:
+    """df with `pos` (0-based, in its key) and `size` (rows of the key). A key may span many tasks: few keys are broadcast; of
+    many, rows and bounds meet by key and block of positions, so that a large key is dealt over tasks there too."""
     at = numbered(df, *keys, *order, name="__pos")
-    bounds = at.groupBy(*keys).agg(F.min("__pos").alias("__low"), F.count("*").alias("size"))
+    bounds = stored(at.groupBy(*keys).agg(F.min("__pos").alias("__low"), F.count("*").alias("size")), "bounds")
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    if bounds.count() <= few:
+        bounds = F.broadcast(bounds)
+    else:
+        # a key of n rows has at most n / block + 1 blocks of positions, so its bounds are repeated no more often than that
+        at = at.withColumn("__salt", F.floor(F.col("__pos") / block))
+        first, last = F.floor(F.col("__low") / block), F.floor((F.col("__low") + F.col("size") - 1) / block)
+        bounds = bounds.withColumn("__salt", F.explode(F.sequence(first, last)))
+        on.append(F.col("l.__salt") == F.col("r.__salt"))
     joined = at.alias("l").join(bounds.alias("r"), on)
-    return joined.select("l.*", (F.col("__pos") - F.col("__low")).alias("pos"), "size").drop("__pos")
+    return joined.select("l.*", (F.col("__pos") - F.col("__low")).alias("pos"), "size").drop("__pos", "__salt")
