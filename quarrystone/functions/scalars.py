@@ -126,3 +126,32 @@ def steps_per_epoch(rows: Column, ratio: float, batch: int, ranks: int) -> Colum
 def eta_seconds(elapsed: Column, done: Column, total: Column) -> Column:
     """Seconds left at the mean pace so far; null before the first step."""
     return F.try_divide(elapsed, done) * (total - done)
+
+
+def output_path(path: Column, root: str, out: str, suffix: str) -> Column:
+    """Where the result for an input goes: its place below root with another suffix; the bare name if it lies elsewhere."""
+    base = root.rstrip("/") + "/"
+    below = F.when(path.startswith(base), F.substring(path, F.lit(len(base) + 1), F.length(path))).otherwise(F.element_at(F.split(path, "/"), -1))
+    return F.concat(F.lit(out.rstrip("/") + "/"), F.regexp_replace(below, r"\.[^./]+$", ""), F.lit(suffix))
+
+
+def literal_value(text: Column) -> Column:
+    """struct(kind, as_bool, as_int, as_float, as_string): the text's value in the field of its kind, null in the others."""
+    kind = literal_kind(text)
+    pick = lambda k, v: F.when(kind == k, v)
+    return F.struct(kind.alias("kind"), pick("bool", F.lower(text) == "true").alias("as_bool"), pick("int", text.try_cast("long")).alias("as_int"), pick("float", text.try_cast("double")).alias("as_float"), pick("str", text).alias("as_string"))
+
+
+def dtype_name(text: Column, known: list[str], default: str | None = None) -> Column:
+    """The number type that a text names, with or without 'torch.'; null is the default, an unknown name an error."""
+    name = F.element_at(F.split(F.lower(F.replace(text, F.lit(" "), F.lit(""))), r"\."), -1)
+    return F.when(text.isNull(), F.lit(default)).when(name.isin(known), name).otherwise(F.raise_error(F.concat(F.lit("unsupported type: "), text)))
+
+
+def time_stamp(at: Column) -> Column:
+    """'20240131_235959'."""
+    return F.date_format(at, "yyyyMMdd_HHmmss")
+
+
+def in_megabytes(size: Column, digits: int = 2) -> Column:
+    return F.format_string(f"%.{digits}f MB", size / 1048576.0)
