@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.functions import arrays, scalars
+from quarrystone.functions import arrays, layout, scalars
 from quarrystone.plans.base import FILES_SQL, files, query, table
 
 PAIRS = "p AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
@@ -98,17 +98,17 @@ def _text(values) -> F.Column:
 
 
 def _layout_sql(index: str, n: int = 64) -> str:
-    return f"SELECT r.r_regionkey AS id, array_to_string(list_transform(range(0, {n}), lambda i: {index} + r.r_regionkey), ',') AS image FROM region r"
+    return f"WITH {V} SELECT vec_id, array_to_string(list_transform(range(0, {n}), lambda i: floor(e[{index} + 1] * 1000)::INT), ',') AS image FROM v"
 
 
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row-major 8 x 8 images whose pixels are their positions plus an id."""
-    return table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i + F.col("r_regionkey")).alias("image"))
+    """Row-major 8 x 8 images of whole numbers, one a vector."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("int")).alias("image"))
 
 
 def _layout(name: str, sql: str, change):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _images(spark, sf_dir).select("id", _text(change(F.col("image"))).alias("image"))
+        return _images(spark, sf_dir).select("vec_id", layout.let(F.col("image"), lambda x: _text(change(x))).alias("image"))
 
     run.__name__ = name
     query(sql)(run)
@@ -123,10 +123,12 @@ _layout("window_partition", _layout_sql("((i // 16) // 2 * 4 + (i % 16) // 4) *
 N = "sqrt(CASE WHEN o.range = 0 THEN 1 / 8::DOUBLE ELSE 2 / 8::DOUBLE END)"
 
 
-@query(f"WITH {V}, x AS (SELECT vec_id, unnest(range(0, 8)) AS i, unnest(e[1:8]) AS x FROM v), w AS (SELECT o.range::INT AS o, i.range AS i, {N} * cos((2 * i.range + 1) * o.range * pi() / 16) AS w FROM range(0, 8) o, range(0, 8) i) SELECT vec_id, o, round(sum((x * w)::DECIMAL(28,12))::DOUBLE, 8) AS value FROM x JOIN w USING (i) GROUP BY vec_id, o")
+@query(f"WITH {V}, x AS (SELECT vec_id, unnest(range(0, 64)) // 8 AS line, unnest(range(0, 64)) % 8 AS i, unnest(e) AS x FROM v), w AS (SELECT o.range::INT AS o, i.range AS i, {N} * cos((2 * i.range + 1) * o.range * pi() / 16) AS w FROM range(0, 8) o, range(0, 8) i) SELECT vec_id, line::INT AS line, o, round(sum((x * w)::DECIMAL(28,12))::DOUBLE, 8) AS value FROM x JOIN w USING (i) GROUP BY vec_id, line, o")
 def dct8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("v"))
-    return arrays.apply_weights(rows, "vec_id", "v", arrays.dct_weights(spark)).select("vec_id", "o", F.round("value", 8).alias("value"))
+    """Each of the eight rows of a vector's 8 x 8 block."""
+    lines = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice("embedding", k * 8 + 1, F.lit(8)))).alias("line", "v"))
+    rows = lines.select(F.struct("vec_id", "line").alias("at"), "v")
+    return arrays.apply_weights(rows, "at", "v", arrays.dct_weights(spark)).select("at.vec_id", "at.line", "o", F.round("value", 8).alias("value"))
 
 
 A = "abs(d)"

@@ -18,11 +18,12 @@ def open_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> Dat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path + "*")
 
 
-def run_to_end(stream: DataFrame, mode: str, name: str) -> DataFrame:
+def run_to_end(stream: DataFrame, mode: str, name: str, folder: str | None = None) -> DataFrame:
     """Process all that is there, then return the result: all rows that were appended, or the last complete result. State and
-    progress lie in the shared folder, so that a restarted job goes on where it was."""
+    progress lie in `folder`: a job that is started again with it goes on where it was. Without one, each run begins anew in the
+    shared folder."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    base = folder or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         # one folder a batch: a batch that is repeated after a failure overwrites its own
