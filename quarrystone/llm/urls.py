@@ -3,11 +3,13 @@
 Host edges are absolute links in the pages' html (href and src), one for each pair of hosts, and, with
 `domain_edges`, both ways between a host and its parent domain. Trust is a personalised PageRank along the edges from
 hosts whose pages rules allow; distrust is the same along reversed edges from hosts whose pages rules block: who links to
-the blocked is suspect. A seed's weight is the share of the host's pages under such rules. A host whose distrust exceeds
-its trust by more than `margin` is blocked.
+the blocked is suspect. A seed's weight is the share of the host's pages under such rules. Ranks shrink as a graph grows, as mass is
+split by degree, so a host is judged by shares: a second rank with every host as a full seed runs along, and what links bring a
+host is set against what they would bring it then. With links a share is (1 - damping) * own + damping * linked, without links it is the
+host's own. A host whose distrust share exceeds its trust share by more than `margin` is blocked.
 
 Cases: a null url, or one without ://, has empty host and path and is allowed; null html has no links; repeated rows are
-judged each (their links count once, seeds count rows); no seeds or no edges leave hosts at their own seeds' scores; an
+judged each (their links count once, seeds count rows); no seeds or no edges leave hosts at their own seeds' shares; an
 empty table gives an empty result; extra columns are ignored; a longest rule that ties goes to the first in order.
 """
 
@@ -20,7 +22,7 @@ from quarrystone.llm.common import read_table, small_side, stored, text_of
 
 #: (verdict, host, path), each fitting the host and its subdomains where the path begins so.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-DAMPING, ROUNDS, MARGIN = 0.85, 10, 0.05
+DAMPING, ROUNDS, MARGIN = 0.85, 10, 0.3
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:https?:)?//([^/"'?#\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,23 +59,29 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html", d
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) from seeds (host, trust, distrust); hosts that nothing reaches are absent.
+    """(host, trust, distrust, trust_share, distrust_share) of all hosts of edges and seeds, from seeds (host, trust, distrust).
 
-    One table holds both walks, along edges (trust) and against them (distrust), so a round is one join and one
-    aggregation; what a round makes is bounded by hosts and edges. Lineage is cut every few rounds."""
+    One table holds both walks, along edges (trust) and against them (distrust), and both ranks of each (`rank` from the seeds, `unit` with
+    every host as a full seed), so a round is one join and one aggregation; what a round makes is bounded by hosts and edges. Lineage
+    is cut every few rounds."""
     both = edges.select(F.lit(True).alias("good"), "src", "dst").unionByName(edges.select(F.lit(False).alias("good"), F.col("dst").alias("src"), F.col("src").alias("dst")))
     degree = both.groupBy("good", "src").agg(F.count("*").alias("degree"))
     walk = stored(both.join(degree, ["good", "src"]).select("good", F.col("src").alias("host"), "dst", (F.lit(damping) / F.col("degree")).alias("part")), "walk")
-    start = seeds.select("host", F.explode(F.create_map(F.lit(True), "trust", F.lit(False), "distrust")).alias("good", "rank")).where("rank > 0")
-    start = stored(start.select("good", "host", (F.col("rank") * (1 - damping)).alias("rank")), "seeds")
+    start = seeds.select("host", F.explode(F.create_map(F.lit(True), "trust", F.lit(False), "distrust")).alias("good", "rank"))
+    start = start.unionByName(walk.select("host", "good", F.lit(0.0).alias("rank"))).unionByName(walk.select(F.col("dst").alias("host"), "good", F.lit(0.0).alias("rank")))
+    start = start.groupBy("good", "host").agg((F.max("rank") * (1 - damping)).alias("rank"))
+    start = stored(start.select("good", "host", "rank", F.lit(1 - damping).alias("unit"), F.lit(0.0).alias("rank_in"), F.lit(0.0).alias("unit_in")), "seeds")
     ranks = start
     for k in range(rounds):
-        moved = ranks.join(walk, ["good", "host"]).select("good", F.col("dst").alias("host"), (F.col("rank") * F.col("part")).alias("rank"))
-        ranks = moved.unionByName(start).groupBy("good", "host").agg(F.sum("rank").alias("rank"))
+        brought = [((F.col(x) + F.col(x + "_in")) * F.col("part")).alias(x + "_in") for x in ("rank", "unit")]
+        moved = ranks.join(walk, ["good", "host"]).select("good", F.col("dst").alias("host"), F.lit(0.0).alias("rank"), F.lit(0.0).alias("unit"), *brought)
+        ranks = moved.unionByName(start).groupBy("good", "host").agg(*[F.sum(x).alias(x) for x in ("rank", "unit", "rank_in", "unit_in")])
         if k % 5 == 4:
             ranks = stored(ranks, "ranks")
-    pick = lambda good: F.sum(F.when(F.col("good") == good, F.col("rank")).otherwise(0.0))
-    return ranks.groupBy("host").agg(pick(True).alias("trust"), pick(False).alias("distrust"))
+    share = F.when(F.col("unit_in") > 0, F.col("rank") + damping * F.col("rank_in") / F.col("unit_in")).otherwise(F.col("rank") / (1 - damping))
+    scored = ranks.select("good", "host", (F.col("rank") + F.col("rank_in")).alias("rank"), share.alias("share"))
+    pick = lambda good, x: F.sum(F.when(F.col("good") == good, F.col(x)).otherwise(0.0))
+    return scored.groupBy("host").agg(pick(True, "rank").alias("trust"), pick(False, "rank").alias("distrust"), pick(True, "share").alias("trust_share"), pick(False, "share").alias("distrust_share"))
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, damping: float = DAMPING, rounds: int = ROUNDS, margin: float = MARGIN, domain_edges: bool = True) -> DataFrame:
@@ -83,7 +91,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     share = lambda v: F.avg(F.when(F.col("own.verdict") == v, 1.0).otherwise(0.0))
     seeds = rows.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     scores = propagate(host_edges(pages, url_col, html_col, domain_edges), seeds, damping, rounds)
-    blocked = stored(scores.where(F.col("distrust") - F.col("trust") > margin).select(F.col("host").alias("bad")), "blocked")
+    blocked = stored(scores.where(F.round(F.col("distrust_share") - F.col("trust_share"), 9) > margin).select(F.col("host").alias("bad")), "blocked")
     judged = rows.join(small_side(blocked), F.col("host") == F.col("bad"), "left")
     own = F.when(F.col("bad").isNull(), "allow").otherwise("block")
     return judged.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", own).alias("verdict"))
@@ -110,14 +118,18 @@ e AS (SELECT DISTINCT src, dst FROM (SELECT * FROM links UNION ALL SELECT * FROM
 b AS (SELECT true AS good, src, dst FROM e UNION ALL SELECT false, dst, src FROM e),
 w AS MATERIALIZED (SELECT good, src AS host, dst, {DAMPING} / count(*) OVER (PARTITION BY good, src) AS part FROM b),
 s AS (SELECT host, avg(CASE WHEN v = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS t, avg(CASE WHEN v = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS d FROM r WHERE host <> '' GROUP BY host),
-k0 AS MATERIALIZED (SELECT true AS good, host, t * (1 - {DAMPING}) AS rank FROM s WHERE t > 0 UNION ALL SELECT false, host, d * (1 - {DAMPING}) FROM s WHERE d > 0)"""
+k0 AS MATERIALIZED (SELECT good, host, max(rank) * (1 - {DAMPING}) AS rank, 1 - {DAMPING}::DOUBLE AS unit, 0::DOUBLE AS rank_in, 0::DOUBLE AS unit_in FROM (
+    SELECT true AS good, host, t AS rank FROM s UNION ALL SELECT false, host, d FROM s UNION ALL SELECT good, host, 0 FROM w UNION ALL SELECT good, dst, 0 FROM w) GROUP BY good, host)"""
     for k in range(1, ROUNDS + 1):
         sql += f""",
-k{k} AS MATERIALIZED (SELECT good, host, sum(rank) AS rank FROM (SELECT w.good, w.dst AS host, k{k - 1}.rank * w.part AS rank FROM k{k - 1} JOIN w USING (good, host) UNION ALL SELECT * FROM k0) GROUP BY good, host)"""
+k{k} AS MATERIALIZED (SELECT good, host, sum(rank) AS rank, sum(unit) AS unit, sum(rank_in) AS rank_in, sum(unit_in) AS unit_in FROM (
+    SELECT w.good, w.dst AS host, 0::DOUBLE AS rank, 0::DOUBLE AS unit, (k.rank + k.rank_in) * w.part AS rank_in, (k.unit + k.unit_in) * w.part AS unit_in
+    FROM k{k - 1} k JOIN w USING (good, host) UNION ALL SELECT good, host, rank, unit, rank_in, unit_in FROM k0) GROUP BY good, host)"""
     return (
         sql
         + f""",
-bad AS (SELECT host FROM k{ROUNDS} GROUP BY host HAVING sum(CASE WHEN good THEN -rank ELSE rank END) > {MARGIN})
+shares AS (SELECT good, host, CASE WHEN unit_in > 0 THEN rank + {DAMPING} * rank_in / unit_in ELSE rank / (1 - {DAMPING}) END AS share FROM k{ROUNDS}),
+bad AS (SELECT host FROM shares GROUP BY host HAVING round(sum(CASE WHEN good THEN -share ELSE share END), 9) > {MARGIN})
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM r
 """
     )

@@ -70,5 +70,20 @@ def test_distrust_reaches_who_links_to_the_blocked(spark):
     assert out[10].verdict == "block" and out[11].verdict == "allow"
 
 
+def test_popularity_of_the_blocked_does_not_hide_its_linkers(spark):
+    """A blocked and an allowed host with 3000 linkers each, some hosts with links to both or mostly elsewhere."""
+    rows = [("http://bad.net/", 0, "", None), ("http://good.org/fr/", 1, "", None), ("http://plain.com/", 2, "", None)]
+    to = {"b": '<a href="//bad.net/">', "g": '<a href="//good.org/">', "p": '<a href="//plain.com/">'}
+    for k in range(3000):
+        rows.append((f"http://links{k}.com/", 10 + k, to["b"], None))
+        rows.append((f"http://fine{k}.com/", 10_000 + k, to["g"] if k % 2 else to["p"], None))
+    rows.append(("http://many.com/", 20_000, to["b"] + "".join(f'<a href="//other{k}.com/">' for k in range(9)), None))
+    rows += [(f"http://more.com/{'x' if k % 5 else ''}", 30_000 + k, "", None) for k in range(5)]
+    out = judge(spark, rows)
+    assert all(out[10 + k].verdict == "block" for k in range(3000))
+    assert all(out[10_000 + k].verdict == "allow" for k in range(3000))
+    assert out[2].verdict == out[20_000].verdict == out[30_000].verdict == "allow"
+
+
 def test_empty(spark):
     assert judge(spark, []) == {}
