@@ -5,8 +5,8 @@ Host edges are absolute links in the pages' html (href and src), one for each pa
 hosts whose pages rules allow; distrust is the same along reversed edges from hosts whose pages rules block: who links to
 the blocked is suspect. A seed's weight is the share of the host's pages under such rules. Ranks shrink as a graph grows, as mass is
 split by degree, so a host is judged by shares: a second rank with every host as a full seed runs along, and what links bring a
-host is set against what they would bring it then. With links a share is (1 - damping) * own + damping * linked, without links it is the
-host's own. A host whose distrust share exceeds its trust share by more than `margin` is blocked.
+host is set against what they would bring it then. A share is (1 - damping) * own + damping * linked, and the host's own
+where that is more. A host whose distrust share exceeds its trust share by more than `margin` is blocked.
 
 Cases: a null url, or one without ://, has empty host and path and is allowed; null html has no links; repeated rows are
 judged each (their links count once, seeds count rows); no seeds or no edges leave hosts at their own seeds' shares; an
@@ -22,7 +22,7 @@ from quarrystone.llm.common import read_table, small_side, stored, text_of
 
 #: (verdict, host, path), each fitting the host and its subdomains where the path begins so.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-DAMPING, ROUNDS, MARGIN = 0.85, 10, 0.3
+DAMPING, ROUNDS, MARGIN = 0.85, 10, 0.33
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:https?:)?//([^/"'?#\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,7 +78,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
         ranks = moved.unionByName(start).groupBy("good", "host").agg(*[F.sum(x).alias(x) for x in ("rank", "unit", "rank_in", "unit_in")])
         if k % 5 == 4:
             ranks = stored(ranks, "ranks")
-    share = F.when(F.col("unit_in") > 0, F.col("rank") + damping * F.col("rank_in") / F.col("unit_in")).otherwise(F.col("rank") / (1 - damping))
+    linked = F.when(F.col("unit_in") > 0, F.col("rank_in") / F.col("unit_in")).otherwise(0.0)
+    share = F.greatest(F.col("rank") / (1 - damping), F.col("rank") + damping * linked)
     scored = ranks.select("good", "host", (F.col("rank") + F.col("rank_in")).alias("rank"), share.alias("share"))
     pick = lambda good, x: F.sum(F.when(F.col("good") == good, F.col(x)).otherwise(0.0))
     return scored.groupBy("host").agg(pick(True, "rank").alias("trust"), pick(False, "rank").alias("distrust"), pick(True, "share").alias("trust_share"), pick(False, "share").alias("distrust_share"))
@@ -128,7 +129,7 @@ k{k} AS MATERIALIZED (SELECT good, host, sum(rank) AS rank, sum(unit) AS unit, s
     return (
         sql
         + f""",
-shares AS (SELECT good, host, CASE WHEN unit_in > 0 THEN rank + {DAMPING} * rank_in / unit_in ELSE rank / (1 - {DAMPING}) END AS share FROM k{ROUNDS}),
+shares AS (SELECT good, host, greatest(rank / (1 - {DAMPING}), rank + {DAMPING} * CASE WHEN unit_in > 0 THEN rank_in / unit_in ELSE 0 END) AS share FROM k{ROUNDS}),
 bad AS (SELECT host FROM shares GROUP BY host HAVING round(sum(CASE WHEN good THEN -share ELSE share END), 9) > {MARGIN})
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM r
 """
