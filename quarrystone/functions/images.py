@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -177,3 +177,46 @@ def changed(f: Callable[..., np.ndarray], image: Column | str, *scalars: Column
         return pd.Series(out, dtype=object)
 
     return run(image, *scalars)
+
+
+def dense(weights: DataFrame, size_out: int, size_in: int) -> np.ndarray:
+    """The matrix of a weights table (o, i, w), whose size is a parameter and doesn't depend on the data."""
+    out = np.zeros((size_out, size_in))
+    for row in weights.collect():
+        out[row.o, row.i] = row.w
+    return out
+
+
+def resized(x: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Both axes by their weights."""
+    return rows @ x @ columns.T
+
+
+def blur_weights(size: int, scale: int) -> np.ndarray:
+    """Every scale-th value after a Gaussian of deviation 0.4 * scale, cut at four deviations; ends reflect without repeating."""
+    sigma, turn = 0.4 * scale, max(2 * (size - 1), 1)
+    reach = np.arange(-int(4 * sigma + 0.5), int(4 * sigma + 0.5) + 1)
+    g = np.exp(-(reach**2) / (2 * sigma**2))
+    out = np.zeros((-(-size // scale), size))
+    for o, row in enumerate(out):
+        at = (o * scale + reach) % turn
+        np.add.at(row, np.minimum(at, turn - at) if size > 1 else at, g / g.sum())
+    return out
+
+
+def up_filter_down(x: np.ndarray, kernel: np.ndarray, up: int = 1, down: int = 1, pad: tuple[int, int] = (0, 0)) -> np.ndarray:
+    """Zeros between values, padding (negative: cropping) before and after, convolution, then every down-th value."""
+    spread = np.zeros((x.shape[0] * up, x.shape[1] * up))
+    spread[::up, ::up] = x
+    spread = np.pad(spread, [(max(pad[0], 0), max(pad[1], 0))] * 2)
+    low, high = max(-pad[0], 0), max(-pad[1], 0)
+    spread = spread[low : spread.shape[0] - high, low : spread.shape[1] - high]
+    found = np.einsum("abij,ij->ab", np.lib.stride_tricks.sliding_window_view(spread, kernel.shape), kernel[::-1, ::-1])
+    return found[::down, ::down]
+
+
+def ssim_channels(a: np.ndarray, b: np.ndarray, channels: int, border: int = 0) -> float:
+    """Mean over planes that lie one below the other, without a border."""
+    cut = slice(border, -border or None)
+    planes = zip(np.split(a, channels), np.split(b, channels), strict=True)
+    return float(np.mean([ssim_of(p[cut, cut], q[cut, cut]) for p, q in planes]))

@@ -126,3 +126,27 @@ def tiles_of(width: Column, height: Column, side: int = 2048, tile: int = 512) -
     """Array of struct(tile, left, top, right, bottom); empty unless the picture is a square of that side."""
     box = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("tile", "left", "top", "right", "bottom"), b, strict=True)]) for b in tile_boxes(side, tile)]
     return F.when((width == side) & (height == side), F.array(*box)).otherwise(F.slice(F.array(*box), 1, 0))
+
+
+def _reflected(i: Column, n: int) -> Column:
+    """Position i of a line of n that goes on by its mirror image, ends not repeated."""
+    turn = max(2 * (n - 1), 1)
+    return F.least(i % turn, turn - i % turn) if n > 1 else F.lit(0)
+
+
+def extended(values: Column, width: int, height: int, wide: int, high: int) -> Column:
+    """The image with columns and rows added at the right and below, reflected as often as it takes."""
+    at = lambda i: _reflected(F.floor(i / wide), height) * width + _reflected(i % wide, width)
+    return let(values, lambda v: F.transform(F.sequence(F.lit(0), F.lit(wide * high - 1)), lambda i: F.get(v, at(i).cast("int"))))
+
+
+def pad_multiple(values: Column, width: int, height: int, side: int) -> Column:
+    """Reflected up to the next multiples of side; `arrays.crop` with the sizes times the scale takes the padding off a result."""
+    return extended(values, width, height, -(-width // side) * side, -(-height // side) * side)
+
+
+def fit_square(values: Column, width: int, height: int, side: int, top: int = 0, left: int = 0) -> Column:
+    """A side x side image: smaller sides are reflected, larger ones are cut at (top, left)."""
+    wide, high = max(width, side), max(height, side)
+    grown = extended(values, width, height, wide, high) if (wide, high) != (width, height) else values
+    return let(grown, lambda v: arrays.crop(v, wide, top, left, side, side)) if (wide, high) != (side, side) else grown

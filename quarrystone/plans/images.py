@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.functions import images
+from quarrystone.functions import arrays, images, layout
 from quarrystone.plans.base import query, table
 from quarrystone.sources import files
 
@@ -96,3 +97,70 @@ def nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = v.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("r <= 8").select("label", F.col("vec_id").alias("near"), F.col("embedding").alias("d"))
     scored = v.join(F.broadcast(entries), "label").select("vec_id", F.struct(F.round(arrays.pair_sum(F.col("embedding"), F.col("d"), lambda x, y: x * y), 7).alias("s"), (-F.col("near")).alias("n")).alias("t"))
     return scored.groupBy("vec_id").agg(F.max("t").alias("t")).select("vec_id", (-F.col("t.n")).alias("near"), F.col("t.s").alias("score"))
+
+
+def _separable(name: str, tables: str, size: int, change, factor: str = "1"):
+    """Both axes of the 8 x 8 images that vectors stand for, by one table w(o, i, w) in SQL; `change` gives the column."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, "embeddings").select("vec_id", change(spark, F.transform("embedding", lambda x: x.cast("double"))).alias("v"))
+        return rows.select("vec_id", F.posexplode("v").alias("o", "value")).select("vec_id", "o", F.round("value", 7).alias("value"))
+
+    run.__name__ = name
+    query(
+        f"""WITH x AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding::DOUBLE[]) AS x FROM embeddings), {tables}
+SELECT vec_id, (r.o * {size} + c.o)::INT AS o, round(sum(x * r.w * c.w) * {factor}, 7) AS value FROM x JOIN w r ON r.i = x.i // 8 JOIN w c ON c.i = x.i % 8 GROUP BY ALL"""
+    )(run)
+
+
+def _resize_2d(spark: SparkSession, image):
+    w = images.dense(arrays.resize_weights(spark, 8, 4), 4, 8)
+    return images.changed(lambda x: images.resized(x, w, w), image, width=8)
+
+
+def _blur_down(spark: SparkSession, image):
+    w = images.blur_weights(8, 2)
+    return images.changed(lambda x: images.resized(x, w, w), image, width=8)
+
+
+def _up_filter_down(spark: SparkSession, image):
+    k = np.outer([1, 3, 2, 1], [1, 3, 2, 1]) / 49 * 4
+    return images.changed(lambda x: images.up_filter_down(x, k, up=2, pad=(2, 1)), image, width=8)
+
+
+CUBIC_SQL = "CASE WHEN abs(d) <= 1 THEN 1.5 * abs(d) ** 3 - 2.5 * d * d + 1 WHEN abs(d) <= 2 THEN -0.5 * abs(d) ** 3 + 2.5 * d * d - 4 * abs(d) + 2 ELSE 0 END"
+_separable(
+    "resize_2d",
+    f"""d AS (SELECT o.range AS o, p.range AS p, (o.range * 2 + 0.5::DOUBLE - p.range) / 2 AS d FROM range(0, 4) o, range(-8, 16) p),
+k AS (SELECT o, least((p + 16) % 16, 15 - (p + 16) % 16) AS i, sum({CUBIC_SQL}) AS w FROM d GROUP BY ALL), w AS (SELECT o, i, w / sum(w) OVER (PARTITION BY o) AS w FROM k)""",
+    4,
+    _resize_2d,
+)
+_separable(
+    "blur_downsample",
+    """g AS (SELECT j.range AS j, exp(-(j.range * j.range) / 1.28::DOUBLE) AS g FROM range(-3, 4) j),
+w AS (SELECT o.range AS o, least((o.range * 2 + j + 14) % 14, 14 - (o.range * 2 + j + 14) % 14) AS i, sum(g) / (SELECT sum(g) FROM g) AS w FROM range(0, 4) o, g GROUP BY ALL)""",
+    4,
+    _blur_down,
+)
+_separable(
+    "up_filter_down",
+    "w AS (SELECT o.range AS o, i.range AS i, [1, 2, 3, 1][k.range + 1] / 7::DOUBLE AS w FROM range(0, 16) o, range(0, 8) i, range(0, 4) k WHERE o.range + k.range - 2 = i.range * 2)",
+    16,
+    _up_filter_down,
+    "4",
+)
+
+
+def _grown(name: str, side: int, change):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        image = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("int")).alias("image"))
+        return image.select("vec_id", F.array_join(F.transform(change(F.col("image")), lambda x: x.cast("string")), ",").alias("image"))
+
+    run.__name__ = name
+    at = f"least(i // {side} % 14, 14 - i // {side} % 14) * 8 + least(i % {side} % 14, 14 - i % {side} % 14)"
+    query(f"SELECT vec_id, array_to_string(list_transform(range(0, {side * side}), lambda i: floor(embedding[{at} + 1]::DOUBLE * 1000)::INT), ',') AS image FROM embeddings")(run)
+
+
+_grown("pad_multiple", 10, lambda x: layout.pad_multiple(x, 8, 8, 5))
+_grown("fit_square", 18, lambda x: layout.fit_square(x, 8, 8, 18))

@@ -194,3 +194,38 @@ def test_config():
     assert config.flat(base) == {"a.b": 1, "a.c": 2, "d": [1]}
     with pytest.raises(ValueError):
         config.overridden(base, "a.b")
+
+
+def test_image_kernels_against_plain_loops():
+    import numpy as np
+
+    from quarrystone.functions import images
+
+    rng = np.random.default_rng(4)
+    x, k = rng.random((5, 7)), rng.random((3, 2))
+    for up, down, pad in ((1, 1, (0, 0)), (2, 3, (2, 1)), (3, 2, (-1, 4))):
+        got = images.up_filter_down(x, k, up, down, pad)
+        at = lambda r, c: x[r // up, c // up] if 0 <= r < 5 * up and 0 <= c < 7 * up and r % up == c % up == 0 else 0.0  # noqa: B023, E731
+        for r in range(got.shape[0]):
+            for c in range(got.shape[1]):
+                want = sum(k[2 - i, 1 - j] * at(r * down + i - pad[0], c * down + j - pad[0]) for i in range(3) for j in range(2))
+                assert abs(got[r, c] - want) < 1e-12
+        assert got.shape[0] == (5 * up + sum(pad) - 3) // down + 1
+    flat = np.full((9, 9), 3.0)
+    for scale in (2, 3, 4):
+        w = images.blur_weights(9, scale)
+        assert np.allclose(images.resized(flat, w, w), 3.0) and w.shape == (-(-9 // scale), 9)
+    a = rng.random((48, 16)) * 255
+    b = np.clip(a + rng.normal(0, 9, a.shape), 0, 255)
+    parts = [images.ssim_of(a[i : i + 16][1:-1, 1:-1], b[i : i + 16][1:-1, 1:-1]) for i in (0, 16, 32)]
+    assert abs(images.ssim_channels(a, b, 3, border=1) - np.mean(parts)) < 1e-12 and images.ssim_channels(a, a, 3) > 1 - 1e-12
+
+
+def test_fit_square_cuts_and_reflects(spark):
+    from pyspark.sql import functions as F
+
+    from quarrystone.functions import layout
+
+    row = spark.createDataFrame([(list(range(6)),)], "v array<int>").select(layout.fit_square(F.col("v"), 3, 2, 2, 0, 1).alias("a"), layout.fit_square(F.col("v"), 3, 2, 3).alias("b"), layout.pad_multiple(F.col("v"), 3, 2, 4).alias("c")).first()
+    assert row.a == [1, 2, 4, 5] and row.b == [0, 1, 2, 3, 4, 5, 0, 1, 2]
+    assert row.c == [0, 1, 2, 1, 3, 4, 5, 4, 0, 1, 2, 1, 3, 4, 5, 4]
