@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from quarrystone.llm import decontaminate, exact_dedup, language, licenses, near_dups, packing, pii, secrets, urls, warc
+from quarrystone.llm import decontaminate, exact_dedup, fill_in_middle, language, licenses, line_quality, near_dups, packing, pii, secrets, urls, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,5 +13,13 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_warc": warc.op10_warc,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op13_line_quality": line_quality.op13_line_quality,
+}
+ORACLES = {
+    "op1_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op5_url_filter": urls.ORACLE_SQL,
+    "op6_jaccard_join": near_dups.ORACLE_SQL,
+    "op10_warc": warc.ORACLE_SQL,
+    "op11_fill_in_middle": fill_in_middle.ORACLE_SQL,
 }
-ORACLES = {"op1_exact_dedup": exact_dedup.ORACLE_SQL, "op5_url_filter": urls.ORACLE_SQL, "op6_jaccard_join": near_dups.ORACLE_SQL, "op10_warc": warc.ORACLE_SQL}
