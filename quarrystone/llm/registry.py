@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL, by name."""
 
-from quarrystone.llm import decontaminate, exact_dedup, fill_in_middle, language, licenses, line_quality, near_dups, packing, pii, secrets, urls, warc
+from quarrystone.llm import decontaminate, exact_dedup, fill_in_middle, language, licenses, line_quality, near_dups, packing, pii, secrets, spelling, urls, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_warc": warc.op10_warc,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_spelling_groups": spelling.op12_spelling_groups,
     "op13_line_quality": line_quality.op13_line_quality,
 }
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op6_jaccard_join": near_dups.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
     "op11_fill_in_middle": fill_in_middle.ORACLE_SQL,
+    "op12_spelling_groups": spelling.ORACLE_SQL,
 }
