@@ -5,6 +5,7 @@ Images are row-major float arrays with their width beside them.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 
@@ -37,7 +38,7 @@ def ssim_of(a: np.ndarray, b: np.ndarray, peak: float = 255.0) -> float:
 def filtered(x: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     """2-D correlation, edges reflected without repeating them."""
     k = kernel.shape[0]
-    return (_windows(np.pad(x, k // 2, mode="reflect"), k) * kernel).sum((2, 3))
+    return np.einsum("abij,ij->ab", _windows(np.pad(x, k // 2, mode="reflect"), k), kernel)
 
 
 def sharpened(x: np.ndarray, weight: float = 0.5, radius: int = 5, threshold: float = 10.0) -> np.ndarray:
@@ -59,42 +60,61 @@ def artifact_map(gt: np.ndarray, output: np.ndarray, smooth: np.ndarray, k: int
     return np.where(residual < other, 0.0, out)
 
 
-def aggd(x: np.ndarray) -> tuple[float, float, float]:
-    """Shape and both scales of an asymmetric generalised Gaussian, by moment matching on a grid of shapes."""
-    shapes = np.arange(0.2, 10.001, 0.001)
-    log_gamma = np.vectorize(math.lgamma)
-    ratio = _shape_ratios(shapes, log_gamma)
-    left, right = np.sqrt((x[x < 0] ** 2).mean()), np.sqrt((x[x > 0] ** 2).mean())
-    g = left / right
-    r = np.abs(x).mean() ** 2 / (x**2).mean() * (g**3 + 1) * (g + 1) / (g**2 + 1) ** 2
-    a = float(shapes[np.argmin((ratio - r) ** 2)])
-    scale = math.exp((math.lgamma(1 / a) - math.lgamma(3 / a)) / 2)
-    return a, float(left * scale), float(right * scale)
+SHAPES = np.arange(0.2, 10.001, 0.001)
 
 
-_ratios: dict[int, np.ndarray] = {}
+@functools.lru_cache(maxsize=1)
+def shape_ratios() -> np.ndarray:
+    """Squared mean over mean square of a generalised Gaussian for each shape; it grows with the shape."""
+    log_gamma = lambda x: np.array([math.lgamma(v) for v in x])
+    return np.exp(2 * log_gamma(2 / SHAPES) - log_gamma(1 / SHAPES) - log_gamma(3 / SHAPES))
 
 
-def _shape_ratios(shapes: np.ndarray, log_gamma) -> np.ndarray:
-    if len(shapes) not in _ratios:
-        _ratios[len(shapes)] = np.exp(2 * log_gamma(2 / shapes) - log_gamma(1 / shapes) - log_gamma(3 / shapes))
-    return _ratios[len(shapes)]
+def aggd(x: np.ndarray) -> tuple[float, float, float]:
+    """Shape and both scales of an asymmetric generalised Gaussian: the shape of the grid whose ratio is nearest to that of the moments.
+
+    Without values on one side the ratio is undefined; then the shape is the grid's first and that side's scale is NaN.
+    """
+    x = np.ravel(x)
+    side = np.sign(x).astype(int) + 1
+    count, square, total = (np.bincount(side, w, minlength=3) for w in (None, x * x, np.abs(x)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        left, _, right = np.sqrt(square / count)
+        skew = left / right
+        ratio = total.sum() ** 2 / (len(x) * square.sum()) * (skew**3 + 1) * (skew + 1) / (skew**2 + 1) ** 2
+    known = shape_ratios()
+    at = 0
+    if not np.isnan(ratio):
+        at = int(np.clip(np.searchsorted(known, ratio), 1, len(known) - 1))
+        at -= ratio - known[at - 1] <= known[at] - ratio
+    shape = float(SHAPES[at])
+    scale = math.exp((math.lgamma(1 / shape) - math.lgamma(3 / shape)) / 2)
+    return shape, float(left * scale), float(right * scale)
+
+
+def normalised(x: np.ndarray) -> np.ndarray:
+    """Pixels less the mean around them, over the deviation around them plus 1; edges are repeated."""
+    taps = _gauss(7, 7 / 6)
+    blur = lambda v: np.einsum("abij,i,j->ab", _windows(np.pad(v, 3, mode="edge"), 7), taps, taps, optimize=True)
+    mean = blur(x)
+    return (x - mean) / (np.sqrt(np.abs(blur(x * x) - mean * mean)) + 1)
 
 
-def niqe_features(x: np.ndarray) -> list[float]:
-    """18 features of an image block: the fit of its normalised pixels, and of products with four neighbours."""
-    window = np.outer(_gauss(7, 7 / 6), _gauss(7, 7 / 6))
-    blur = lambda v: (_windows(np.pad(v, 3, mode="edge"), 7) * window).sum((2, 3))
-    mean = blur(x)
-    normal = (x - mean) / (np.sqrt(np.abs(blur(x * x) - mean * mean)) + 1)
-    a, left, right = aggd(normal)
-    out = [a, (left + right) / 2]
+def block_features(normal: np.ndarray) -> list[float]:
+    """18 features of a block of normalised pixels: their fit, and that of products with four neighbours."""
+    shape, left, right = aggd(normal)
+    out = [shape, (left + right) / 2]
     for shift in ((0, 1), (1, 0), (1, 1), (1, -1)):
-        a, left, right = aggd(normal * np.roll(normal, shift, (0, 1)))
-        out += [a, (right - left) * math.exp(math.lgamma(2 / a) - math.lgamma(1 / a)), left, right]
+        shape, left, right = aggd(normal * np.roll(normal, shift, (0, 1)))
+        out += [shape, (right - left) * math.exp(math.lgamma(2 / shape) - math.lgamma(1 / shape)), left, right]
     return out
 
 
+def niqe_features(x: np.ndarray) -> list[float]:
+    """The features of an image that is one block."""
+    return block_features(normalised(x))
+
+
 #: The luminance table of the JPEG standard, annex K, by rows.
 LUMA = np.array([16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62, 18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99]).reshape(8, 8)
 
