@@ -7,8 +7,6 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 VALIDATION = "stage string, path string, size_bytes bigint, width int, height int, over_limit boolean"
 URLS = "image_url string, prompt string"
@@ -124,30 +122,3 @@ def fetch(urls: DataFrame, url: str, key: str, get: Callable[[str], bytes], retr
 
     kind = dict(urls.dtypes)[key]
     return urls.select(key, url).mapInPandas(run, f"{key} {kind}, {url} string, ok boolean, content binary, error string")
-
-
-class KeyValueSource(DataSource):
-    """`quarrystone_kv`: rows (key, value) of a line-based store given by the options `lines` (text) and `parts`."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "quarrystone_kv"
-
-    def schema(self) -> str:
-        return "key string, value string"
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _KeyValueReader(self.options)
-
-
-class _KeyValueReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.lines, self.parts = options.get("lines", "").splitlines(), int(options.get("parts", "2"))
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(k) for k in range(self.parts)]
-
-    def read(self, partition: InputPartition):
-        for line in self.lines[partition.value :: self.parts]:
-            key, _, value = line.partition("\t")
-            yield key, value

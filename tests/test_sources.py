@@ -83,12 +83,6 @@ def test_fetch_retries(spark):
     assert bytes(out[1].content) == b"good" and not out[2].ok and "no such host" in out[2].error
 
 
-def test_key_value_source(spark):
-    spark.dataSource.register(files.KeyValueSource)
-    rows = spark.read.format("quarrystone_kv").option("lines", "a\t1\nb\t2\nc\t3").load()
-    assert sorted(map(tuple, rows.collect())) == [("a", "1"), ("b", "2"), ("c", "3")]
-
-
 def test_pool_stream(spark, tmp_path):
     from quarrystone.streaming import jobs
 
