@@ -240,3 +240,46 @@ def ssim_channels(a: np.ndarray, b: np.ndarray, channels: int, border: int = 0)
     cut = slice(border, -border or None)
     planes = zip(np.split(a, channels), np.split(b, channels), strict=True)
     return float(np.mean([ssim_of(p[cut, cut], q[cut, cut]) for p, q in planes]))
+
+
+def sampled(x: np.ndarray, column: np.ndarray, row: np.ndarray, border: str = "zeros") -> np.ndarray:
+    """Bilinear samples at any places. Outside, `zeros` fades to 0 over a pixel, `border` repeats the edge."""
+    h, w = x.shape
+    if border == "border":
+        column, row = np.clip(column, 0, w - 1), np.clip(row, 0, h - 1)
+    c, r = np.floor(column).astype(int), np.floor(row).astype(int)
+    fc, fr = column - c, row - r
+
+    def at(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        inside = (i >= 0) & (i < h) & (j >= 0) & (j < w)
+        return np.where(inside, x[np.clip(i, 0, h - 1), np.clip(j, 0, w - 1)], 0.0)
+
+    return (at(r, c) * (1 - fc) + at(r, c + 1) * fc) * (1 - fr) + (at(r + 1, c) * (1 - fc) + at(r + 1, c + 1) * fc) * fr
+
+
+def rotated(x: np.ndarray, angle: float, centre: tuple[float, float] | None = None, scale: float = 1.0, border: str = "zeros") -> np.ndarray:
+    """Turned counter-clockwise by degrees about a centre (column, row; by default half the sides, rounded down) and scaled, same size.
+
+    Each pixel is looked up where the inverse map says.
+    """
+    h, w = x.shape
+    cx, cy = centre or (w // 2, h // 2)
+    turn = math.radians(angle)
+    dx, dy = (np.arange(w) - cx) / scale, (np.arange(h) - cy)[:, None] / scale
+    # whole quarter turns have no rounding: cosines of them are exactly 0 or 1
+    cos, sin = (float(round(v)) if abs(v - round(v)) < 1e-12 else v for v in (math.cos(turn), math.sin(turn)))
+    return sampled(x, dx * cos - dy * sin + cx, dx * sin + dy * cos + cy, border)
+
+
+def flow_resized(flow: np.ndarray, height: int, width: int, align: bool = False) -> np.ndarray:
+    """A flow field (h, w, 2: across, down) brought to another size, bilinear without antialiasing; its vectors grow with the image."""
+    h, w, _ = flow.shape
+
+    def places(n_in: int, n_out: int) -> np.ndarray:
+        o = np.arange(n_out)
+        if align:
+            return o * ((n_in - 1) / (n_out - 1) if n_out > 1 else 0.0)
+        return np.maximum((o + 0.5) * (n_in / n_out) - 0.5, 0)
+
+    column, row = np.broadcast_arrays(places(w, width), places(h, height)[:, None])
+    return np.stack([sampled(flow[:, :, k], column, row, "border") * ratio for k, ratio in ((0, width / w), (1, height / h))], 2)
