@@ -193,6 +193,20 @@ def grid_kernel(spark, size: int, density) -> DataFrame:
     return cells.crossJoin(F.broadcast(total)).select("y", "x", (F.col("d") / F.col("t")).alias("w"))  # one row
 
 
+def convolution_weights(kernel: DataFrame, width: int, height: int) -> DataFrame:
+    """(o, i, w): output pixel o is the sum of w times pixel i, by a kernel (y, x, w) about o; edges are reflected without repeating them."""
+    pixels = kernel.sparkSession.range(width * height).select(F.col("id").cast("int").alias("o"))
+    cells = F.broadcast(kernel).crossJoin(pixels)  # kernel cells x pixels, both parameters
+
+    def mirrored(at: Column, n: int) -> Column:
+        turn = max(2 * (n - 1), 1)
+        inside = F.pmod(at, F.lit(turn))
+        return F.least(inside, turn - inside) if n > 1 else F.lit(0)
+
+    row, column = mirrored(F.floor(F.col("o") / width) + F.col("y"), height), mirrored(F.col("o") % width + F.col("x"), width)
+    return cells.groupBy("o", (row * width + column).cast("int").alias("i")).agg(F.sum("w").alias("w"))
+
+
 def quadratic(x: Column, y: Column, sig_x: float, sig_y: float, theta: float) -> Column:
     """The squared Mahalanobis distance under a covariance with deviations sig_x, sig_y, rotated by theta."""
     c, s = math.cos(theta), math.sin(theta)

@@ -42,12 +42,14 @@ def path_key(path: Column, root: str = "") -> Column:
 
 
 def embedding_key(path: Column) -> Column:
-    """struct(key, model, resolution) of '<model>/<n>px/<rest>'; null with fewer than three parts or no such part after the model."""
-    parts = F.split(path, "/")
-    at = F.array_position(F.transform(parts, lambda p: p.rlike(r"^\d+px$")), F.lit(True)).cast("int")
-    rest = F.array_join(F.slice(parts, at + 1, F.size(parts)), "/")
-    found = F.struct(F.regexp_replace(rest, r"\.[^./]+$", "").alias("key"), F.array_join(F.slice(parts, 1, at - 1), "/").alias("model"), F.element_at(parts, at).alias("resolution"))
-    return F.when((F.size(parts) >= 3) & (at > 1) & (at < F.size(parts)), found)
+    """struct(key, model, resolution) of a path below the cache: the model is its first part, the resolution the first later part that ends in
+    'px', the key all that follows, without its last suffix. Null with fewer than three parts, no such part, or nothing after it."""
+    parts = F.filter(F.split(path, "/"), lambda p: ~p.isin("", "."))
+    later = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    at = F.array_position(F.transform(later, lambda p: p.endswith("px")), F.lit(True)).cast("int")
+    rest = F.array_join(F.slice(later, at + 1, F.size(later)), "/")
+    found = F.struct(F.regexp_replace(rest, r"(?<=[^/])\.[^./]+$", "").alias("key"), F.get(parts, F.lit(0)).alias("model"), F.get(later, at - 1).alias("resolution"))
+    return F.when((F.size(parts) >= 3) & (at > 0) & (at < F.size(later)), found)
 
 
 def after_marker(path: Column, marker: str) -> Column:

@@ -118,8 +118,17 @@ def pending_files(files: DataFrame, done: DataFrame, suffixes: list[str], path:
     return curate.missing_outputs(named, done, "key")
 
 
-def stacked_clips(frames: DataFrame, clip: str, idx: str, image: str, most_frames: int = 1000) -> DataFrame:
-    """(clip, names, images): a clip's images in order. A clip of more than most_frames is an error, as its images make one row."""
-    rows = frames.groupBy(clip).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(idx, image))).alias("s"))
-    whole = F.when(F.col("n") <= most_frames, F.col("s")).otherwise(F.raise_error(F.lit("a clip has too many frames for one row")))
-    return rows.select(clip, whole.alias("s")).select(clip, F.col(f"s.{idx}").alias("names"), F.col(f"s.{image}").alias("images"))
+def stacked_clips(frames: DataFrame, clip: str, idx: str, image: str, most_frames: int = 1000, multiple: int = 1, height: str | None = None, width: str | None = None) -> DataFrame:
+    """(clip, names, images): a clip's images in order, as one row. Rows are counted before any image moves: a clip of more than most_frames is
+    an error, as its images make one row. With height and width, images are cut to a multiple of `multiple` on each side, from their first pixel."""
+    sizes = frames.groupBy(clip).agg(F.count("*").alias("__n"))
+    large = sizes.where(F.col("__n") > most_frames).limit(1).collect()
+    if large:
+        raise ValueError(f"clip {large[0][0]} has too many frames for one row: {large[0][1]}")
+    taken = F.col(image)
+    if height and width:
+        row = F.col(width) - F.col(width) % multiple
+        lines = F.floor(F.col(height) / multiple) * multiple
+        taken = F.flatten(F.transform(F.sequence(F.lit(0), (lines - 1).cast("int")), lambda y: F.slice(F.col(image), y * F.col(width) + 1, row)))
+    rows = frames.select(F.col(clip), F.struct(F.col(idx).alias("idx"), taken.alias("image")).alias("s")).groupBy(clip).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return rows.select(clip, F.col("s.idx").alias("names"), F.col("s.image").alias("images"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.operators.ordering import numbered, ranked
+from quarrystone.operators.storage import stored
 
 
 def frame_keys(clips: DataFrame, clip: str, frames: str, template: str = "%s/%08d") -> DataFrame:
@@ -57,6 +60,12 @@ def centred_list(frames: int, most: int = 7) -> list[int]:
     return [i + (most + 2 - frames) // 2 for i in range(frames)]
 
 
+def centred_frames(frames: Column, most: int = 7) -> Column:
+    """`centred_list` of a column of lengths."""
+    first = F.floor((most + 2 - frames) / 2)
+    return F.sequence(first, first + frames - 1)
+
+
 def positions(frames: DataFrame, clip: str, order: str, border: int) -> DataFrame:
     """pos, size, label 'pos/size', and border = 1 in the first and last `border` frames of a clip."""
     at = ranked(frames, [clip], order)
@@ -81,19 +90,40 @@ def resetting_mean(rows: DataFrame, order: list[str], value: str, window: int) -
     return at.withColumn("mean", total.cast("double") / n)
 
 
+def recurrence(rows: DataFrame, keys: list[str], pos: str, value: str, weight: float, block: int = 4096) -> DataFrame:
+    """keys, pos, y with y = weight * y_before + value along gapless positions from 0, per key, beginning with y = value.
+
+    Positions are dealt in blocks, each scanned by doubling in its task. What blocks end with is such a recurrence again, with the weight of a
+    block, so keys of any length take as many rounds as their length has digits in base `block`, and none of them is one row or one task.
+    """
+    names = [*keys, "block"]
+    placed = rows.select(*keys, F.floor(F.col(pos) / block).alias("block"), F.struct(F.col(pos).alias("pos"), F.col(value).cast("double").alias("v")).alias("r"))
+    blocks = placed.groupBy(*names).agg(F.array_sort(F.collect_list("r")).alias("rows"))
+
+    @F.pandas_udf("array<double>")
+    def scanned(values: pd.Series) -> pd.Series:
+        def one(v):
+            y, step = np.array(v, np.float64), 1
+            while step < len(y):
+                y[step:] += weight**step * y[:-step].copy()
+                step *= 2
+            return y
+
+        return pd.Series([one(v) for v in values], dtype=object)
+
+    own = stored(blocks.select(*names, F.col("rows")[0]["pos"].alias("from"), scanned(F.transform("rows", lambda r: r["v"])).alias("ys")), "recurrence")
+    if own.where("block > 0").isEmpty():
+        return own.select(*keys, F.posexplode("ys").alias("k", "y")).select(*keys, F.col("k").cast("long").alias("pos"), "y")
+    ends = own.select(*names, F.element_at("ys", -1).alias("end"))
+    before = recurrence(ends, keys, "block", "end", weight**block, block).withColumn("block", F.col("pos") + 1).select(*names, F.col("y").alias("before"))
+    on = [F.col(f"o.{n}").eqNullSafe(F.col(f"b.{n}")) for n in names]
+    joined = own.alias("o").join(before.alias("b"), on, "left").select("o.*", F.coalesce("b.before", F.lit(0.0)).alias("before"))
+    each = joined.select(*keys, "from", "before", F.posexplode("ys").alias("k", "y"))
+    return each.select(*keys, (F.col("from") + F.col("k")).alias("pos"), (F.col("y") + F.col("before") * F.pow(F.lit(weight), F.col("k") + 1)).alias("y"))
+
+
 def smoothed(rows: DataFrame, keys: list[str], order: list[str], value: str, weight: float, block: int = 4096) -> DataFrame:
-    """y = weight * y_before + (1 - weight) * x, beginning with y = x, per key. A key's rows are folded in blocks: a block
-    maps the value before it to the value after it linearly, so blocks are chained over their two numbers only."""
-    at = ranked(rows, keys, *order).drop("size").withColumn("block", F.floor(F.col("pos") / block))
-    folded = at.groupBy(*keys, "block").agg(F.array_sort(F.collect_list(F.struct("pos", F.col(value).cast("double").alias("v")))).alias("rows"))
-    # y after k rows of a block, had it begun at 0: the first row of a key enters whole
-    step = lambda acc, r: F.struct((acc["y"] * weight + F.when(r["pos"] == 0, r["v"]).otherwise(r["v"] * (1 - weight))).alias("y"), F.concat(acc["out"], F.array(F.struct(r["pos"].alias("pos"), (acc["y"] * weight + F.when(r["pos"] == 0, r["v"]).otherwise(r["v"] * (1 - weight))).alias("y")))).alias("out"))
-    zero = F.struct(F.lit(0.0).alias("y"), F.expr("cast(array() as array<struct<pos:bigint,y:double>>)").alias("out"))
-    folded = folded.select(*keys, "block", F.aggregate("rows", zero, step, lambda acc: acc["out"]).alias("ys"))
-    ends = folded.select(*keys, "block", F.element_at("ys", -1)["y"].alias("end"), F.size("ys").alias("n"))
-    chain = ends.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("block", "end", "n"))).alias("blocks"))
-    carry = lambda acc, b: F.struct((acc["y"] * F.pow(F.lit(weight), b["n"]) + b["end"]).alias("y"), F.concat(acc["out"], F.array(F.struct(b["block"].alias("block"), acc["y"].alias("before")))).alias("out"))
-    none = F.struct(F.lit(0.0).alias("y"), F.expr("cast(array() as array<struct<block:bigint,before:double>>)").alias("out"))
-    starts = chain.select(*keys, F.explode(F.aggregate("blocks", none, carry, lambda acc: acc["out"])).alias("s")).select(*keys, "s.block", "s.before")
-    per_row = folded.join(starts, [*keys, "block"]).select(*keys, "block", "before", F.explode("ys").alias("r"))
-    return per_row.select(*keys, F.col("r.pos").alias("pos"), (F.col("r.y") + F.col("before") * F.pow(F.lit(weight), F.col("r.pos") - F.col("block") * block + 1)).alias("smooth"))
+    """y = weight * y_before + (1 - weight) * x, beginning with y = x, per key; see `recurrence`."""
+    at = ranked(rows, keys, *order)
+    entered = at.select(*keys, "pos", F.when(F.col("pos") == 0, F.col(value)).otherwise(F.col(value) * (1 - weight)).alias("__v"))
+    return recurrence(entered, keys, "pos", "__v", weight, block).withColumnRenamed("y", "smooth")

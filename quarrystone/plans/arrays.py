@@ -152,11 +152,20 @@ GRID = f"g AS (SELECT y.range::INT AS y, x.range::INT AS x, pow(x.range * {C!r}:
 
 
 def _kernel(name: str, density: str, function):
+    """8 x 8 images blurred by a kernel of 21 x 21 values, edges reflected."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return arrays.grid_kernel(spark, 21, function).select("y", "x", F.round("w", 9).alias("w"))
+        weights = arrays.convolution_weights(arrays.grid_kernel(spark, 21, function), 8, 8)
+        rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+        return arrays.apply_weights(rows, "vec_id", "v", weights).select("vec_id", "o", F.round("value", 7).alias("value"))
 
     run.__name__ = name
-    query(f"WITH {GRID}, d AS (SELECT y, x, {density} AS d FROM g) SELECT y, x, round(d / sum(d) OVER (), 9) AS w FROM d")(run)
+    mirrored = lambda i: f"least((({i}) % 14 + 14) % 14, 14 - (({i}) % 14 + 14) % 14)"
+    query(
+        f"""WITH {GRID}, d AS (SELECT y, x, {density} AS d FROM g), k AS (SELECT y, x, d / sum(d) OVER () AS w FROM d),
+w AS (SELECT o, {mirrored('o // 8 + y')} * 8 + {mirrored('o % 8 + x')} AS i, sum(w) AS w FROM k, range(0, 64) r(o) GROUP BY ALL), {V}, x AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(e) AS x FROM v)
+SELECT vec_id, o::INT AS o, round(sum((x * w)::DECIMAL(28,12))::DOUBLE, 7) AS value FROM x JOIN w USING (i) GROUP BY vec_id, o"""
+    )(run)
 
 
 _kernel("gauss_kernel", "exp(-0.5 * q)", arrays.gaussian(2.0, 1.5, 0.5))
@@ -164,28 +173,37 @@ _kernel("generalized_kernel", "exp(-0.5 * pow(q, 0.7))", arrays.gaussian(2.0, 1.
 _kernel("plateau_kernel", "1 / (pow(q, 1.4) + 1)", arrays.plateau(2.0, 1.5, 0.5, 1.4))
 
 
-@query("SELECT k.range::INT AS k, round(CASE WHEN abs(x) <= 1 THEN 1.5 * abs(x) * abs(x) * abs(x) - 2.5 * abs(x) * abs(x) + 1 WHEN abs(x) <= 2 THEN -0.5 * abs(x) * abs(x) * abs(x) + 2.5 * abs(x) * abs(x) - 4 * abs(x) + 2 ELSE 0 END, 9) AS cubic, round(greatest(0::DOUBLE, 1 - abs(x)), 9) AS linear, CASE WHEN abs(x) <= 1 THEN 1::DOUBLE ELSE 0 END AS box, round(CASE WHEN x = 0 THEN 1 WHEN abs(x) < 3 THEN sin(pi() * x) / (pi() * x) * sin(pi() * x / 3) / (pi() * x / 3) ELSE 0 END, 9) AS lanczos3 FROM range(0, 61) k, LATERAL (SELECT (k.range - 30) / 10::DOUBLE AS x)")
+@query(f"WITH {V}, p AS (SELECT vec_id, unnest(range(0, 64))::INT AS i, unnest(e) * 10 AS x FROM v) SELECT vec_id, i, round(CASE WHEN abs(x) <= 1 THEN 1.5 * abs(x) * abs(x) * abs(x) - 2.5 * abs(x) * abs(x) + 1 WHEN abs(x) <= 2 THEN -0.5 * abs(x) * abs(x) * abs(x) + 2.5 * abs(x) * abs(x) - 4 * abs(x) + 2 ELSE 0 END, 9) AS cubic, round(greatest(0::DOUBLE, 1 - abs(x)), 9) AS linear, CASE WHEN abs(x) <= 1 THEN 1::DOUBLE ELSE 0 END AS box, round(CASE WHEN x = 0 THEN 1 WHEN abs(x) < 3 THEN sin(pi() * x) / (pi() * x) * sin(pi() * x / 3) / (pi() * x / 3) ELSE 0 END, 9) AS lanczos3 FROM p")
 def interpolation_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = (F.col("id") - 30) / 10.0
-    out = [F.round(arrays.kernel(n, x), 9).alias(n) for n in ("cubic", "linear", "box", "lanczos3")]
-    return spark.range(61).select(F.col("id").cast("int").alias("k"), *out)
+    """The kernels at ten times the values of vectors."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"))
+    x = F.col("e").cast("double") * 10
+    return rows.select("vec_id", "i", *[F.round(arrays.kernel(n, x), 9).alias(n) for n in ("cubic", "linear", "box", "lanczos3")])
+
+
+STEPS = "s AS (SELECT event_id, event_id % 1000 AS step FROM events)"
+
+
+def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as steps of runs of a thousand."""
+    return table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 1000).alias("step"))
 
 
-@query("SELECT s.range AS step, round(CASE WHEN s.range >= 600 THEN 0.5::DOUBLE * pow(0.1::DOUBLE, (s.range >= 700)::INT + (s.range >= 800)::INT) ELSE pow(0.1::DOUBLE, (s.range >= 200)::INT * 2 + (s.range >= 400)::INT) END, 10) AS lr FROM range(0, 1000) s")
+@query(f"WITH {STEPS} SELECT event_id, step, round(CASE WHEN step >= 600 THEN 0.5::DOUBLE * pow(0.1::DOUBLE, (step >= 700)::INT + (step >= 800)::INT) ELSE pow(0.1::DOUBLE, (step >= 200)::INT * 2 + (step >= 400)::INT) END, 10) AS lr FROM s")
 def lr_multistep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lr = scalars.multistep_lr(F.col("id"), 1.0, [200, 200, 400, 700, 800], 0.1, (0, 600), (1.0, 0.5))
-    return spark.range(1000).select(F.col("id").alias("step"), F.round(lr, 10).alias("lr"))
+    lr = scalars.multistep_lr(F.col("step"), 1.0, [200, 200, 400, 700, 800], 0.1, (0, 600), (1.0, 0.5))
+    return _steps(spark, sf_dir).select("event_id", "step", F.round(lr, 10).alias("lr"))
 
 
-@query("SELECT s.range AS step, (CASE WHEN s.range <= 400 THEN 0 WHEN s.range <= 1000 THEN 1 END)::INT AS period, round(CASE WHEN s.range <= 400 THEN 1e-7::DOUBLE + 0.5::DOUBLE * (1e-3::DOUBLE - 1e-7::DOUBLE) * (1 + cos(pi() * s.range / 400)) ELSE 1e-7::DOUBLE + 0.25::DOUBLE * (1e-3::DOUBLE - 1e-7::DOUBLE) * (1 + cos(pi() * (s.range - 400) / 600)) END, 12) AS lr FROM range(0, 1000) s")
+@query(f"WITH {STEPS} SELECT event_id, step, (CASE WHEN step <= 400 THEN 0 WHEN step <= 1000 THEN 1 END)::INT AS period, round(CASE WHEN step <= 400 THEN 1e-7::DOUBLE + 0.5::DOUBLE * (1e-3::DOUBLE - 1e-7::DOUBLE) * (1 + cos(pi() * step / 400)) ELSE 1e-7::DOUBLE + 0.25::DOUBLE * (1e-3::DOUBLE - 1e-7::DOUBLE) * (1 + cos(pi() * (step - 400) / 600)) END, 12) AS lr FROM s")
 def lr_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.col("id")
-    return spark.range(1000).select(s.alias("step"), scalars.period_index(s, [400, 1000]).alias("period"), F.round(scalars.cosine_lr(s, 1e-3, [400, 600], [1.0, 0.5], 1e-7), 12).alias("lr"))
+    s = F.col("step")
+    return _steps(spark, sf_dir).select("event_id", "step", scalars.period_index(s, [400, 1000]).alias("period"), F.round(scalars.cosine_lr(s, 1e-3, [400, 600], [1.0, 0.5], 1e-7), 12).alias("lr"))
 
 
-@query("SELECT s.range AS step, round(CASE WHEN s.range < 100 THEN 0.01::DOUBLE * s.range / 100 ELSE 0.01 END, 10) AS lr FROM range(0, 300) s")
+@query(f"WITH {STEPS} SELECT event_id, step, round(CASE WHEN step < 100 THEN 0.01::DOUBLE * step / 100 ELSE 0.01 END, 10) AS lr FROM s")
 def lr_warmup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(300).select(F.col("id").alias("step"), F.round(scalars.warmup(F.col("id"), F.lit(0.01), 100), 10).alias("lr"))
+    return _steps(spark, sf_dir).select("event_id", "step", F.round(scalars.warmup(F.col("step"), F.lit(0.01), 100), 10).alias("lr"))
 
 
 @query("SELECT doc_id, substr(lower(regexp_replace(coalesce(text, ''), '\\W+', '_', 'g')), 1, 50) AS slug FROM documents")
@@ -219,10 +237,11 @@ def fit_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("doc_id", scalars.fit_size(F.col("width"), F.col("height"), 256).alias("s")).select("doc_id", "s.width", "s.height")
 
 
-@query("SELECT q.range::INT AS quality, round(CASE WHEN q.range < 50 THEN 5000 / q.range::DOUBLE ELSE 200 - q.range * 2 END / 100, 8) AS factor, round(round_even(q.range / 8::DOUBLE, 0) + pow(q.range / 8::DOUBLE - round_even(q.range / 8::DOUBLE, 0), 3), 9) AS soft FROM range(1, 101) q")
+@query("WITH q AS (SELECT doc_id, (n_chars % 100 + 1)::INT AS quality FROM documents) SELECT doc_id, quality, round(CASE WHEN quality < 50 THEN 5000 / quality::DOUBLE ELSE 200 - quality * 2 END / 100, 8) AS factor, round(round_even(quality / 8::DOUBLE, 0) + pow(quality / 8::DOUBLE - round_even(quality / 8::DOUBLE, 0), 3), 9) AS soft FROM q")
 def quality_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.col("id")
-    return spark.range(1, 101).select(q.cast("int").alias("quality"), F.round(scalars.quality_to_factor(q.cast("double")), 8).alias("factor"), F.round(scalars.soft_round(q / 8.0), 9).alias("soft"))
+    """JPEG factors of qualities from 1 to 100, and their eighths rounded softly."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 100 + 1).cast("int").alias("quality"))
+    return rows.select("doc_id", "quality", F.round(scalars.quality_to_factor(F.col("quality").cast("double")), 8).alias("factor"), F.round(scalars.soft_round(F.col("quality") / 8.0), 9).alias("soft"))
 
 
 @query()

@@ -103,6 +103,25 @@ def manifest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.index_embeddings(_found(spark, sf_dir)).select("key", _as_text("embeddings").alias("embeddings"))
 
 
+PATHS_SQL = """p AS (SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'vae/256px/' || source || '/' || doc_id || '.tar.pt' WHEN 1 THEN 'vae/extra/128px/' || doc_id || '.pt' WHEN 2 THEN lang || '/x/' || doc_id || '.pt'
+  WHEN 3 THEN 'vae/' || doc_id || 'px' WHEN 4 THEN 'vae//bigpx/64px/' || source || '.' || doc_id WHEN 5 THEN '128px/' || doc_id || '/a.pt' WHEN 6 THEN './vae/./px/.' || doc_id ELSE 'vae/a/128px/' || source || '/' || doc_id END AS path FROM documents),
+c AS (SELECT doc_id, list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.')) AS parts FROM p), l AS (SELECT *, parts[2:] AS later, list_position(list_transform(parts[2:], lambda x: ends_with(x, 'px')), true) AS spot FROM c)"""
+
+
+@query(f"WITH {PATHS_SQL} SELECT doc_id, parts[1] AS model, later[spot] AS resolution, regexp_replace(array_to_string(later[spot + 1:], '/'), '([^/])\\.[^./]+$', '\\1') AS key FROM l WHERE len(parts) >= 3 AND coalesce(spot, 0) > 0 AND spot < len(later)")
+def embedding_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model, resolution and key of paths of many forms."""
+    k, doc = F.col("doc_id") % 8, F.col("doc_id").cast("string")
+    joined = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    source, lang = F.col("source"), F.col("lang")
+    forms = [joined("vae/256px/", source, "/", doc, ".tar.pt"), joined("vae/extra/128px/", doc, ".pt"), joined(lang, "/x/", doc, ".pt"), joined("vae/", doc, "px"), joined("vae//bigpx/64px/", source, ".", doc), joined("128px/", doc, "/a.pt"), joined("./vae/./px/.", doc), joined("vae/a/128px/", source, "/", doc)]
+    path = F.when(k == 0, forms[0])
+    for n, form in enumerate(forms[1:], 1):
+        path = path.when(k == n, form)
+    rows = table(spark, sf_dir, "documents").select("doc_id", curate.embedding_key(path).alias("e")).where("e is not null")
+    return rows.select("doc_id", "e.model", "e.resolution", "e.key")
+
+
 REQUIRED = curate.parse_requirement("vae_a: 256px") + curate.parse_requirement("vae_b:256px")
 MATCH_SQL = f"""WITH {FOUND_SQL}, m AS (SELECT doc_id, path, regexp_replace(path, '\\.[^./]+$', '') AS key FROM files),
 j AS (SELECT m.*, e, CASE WHEN e IS NULL THEN 'missing' WHEN list_contains(e, {{'model': 'vae_a', 'resolution': '256px'}}) AND list_contains(e, {{'model': 'vae_b', 'resolution': '256px'}}) THEN 'matched' ELSE 'filtered' END AS status FROM m LEFT JOIN idx USING (key))"""

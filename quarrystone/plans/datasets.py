@@ -133,10 +133,18 @@ def pending_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.pending_files(rows, done, ["png"]).select("path", "key")
 
 
-@query("SELECT label AS clip, array_to_string(list(vec_id ORDER BY vec_id), ',') AS names, round(sum(embedding[1]::DECIMAL(28,12))::DOUBLE, 6) AS first FROM embeddings GROUP BY label")
+@query(
+    """WITH e AS (SELECT vec_id // 8 AS clip, vec_id, list_transform(range(0, 36), lambda i: embedding[i // 6 * 8 + i % 6 + 1]::DOUBLE) AS v FROM embeddings)
+SELECT clip, array_to_string(list(vec_id ORDER BY vec_id), ',') AS names, round(sum(list_sum(list_transform(v, lambda x: (x * (vec_id % 8 + 1))::DECIMAL(28,12)))::DOUBLE), 6) AS weighted FROM e GROUP BY clip"""
+)
 def image_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = datasets.stacked_clips(table(spark, sf_dir, "embeddings").select(F.col("label").alias("clip"), "vec_id", "embedding"), "clip", "vec_id", "embedding", 1_000_000)
-    return rows.select("clip", _joined("names"), F.round(arrays.exact_sum(F.transform("images", lambda v: v[0])), 6).alias("first"))
+    """Clips of eight 8 x 8 images, cut to multiples of 3; every value counts in the sum, with its image's place as a weight."""
+    rows = table(spark, sf_dir, "embeddings").select(F.expr("vec_id div 8").alias("clip"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("image"), F.lit(8).alias("h"), F.lit(8).alias("w"))
+    whole = datasets.stacked_clips(rows, "clip", "vec_id", "image", 8, 3, "h", "w")
+    place = lambda k: F.get("names", k) % 8 + 1
+    sums = F.transform("images", lambda v, k: arrays.exact_sum(F.transform(v, lambda x: x * place(k))))
+    summed = whole.withColumn("weighted", F.round(F.aggregate(sums, F.lit(0.0), lambda a, x: a + x.cast("double")), 6))
+    return summed.withColumn("names", _joined("names")).select("clip", "names", "weighted")
 
 
 @query("WITH s AS (SELECT doc_id, 2048 AS width, CASE WHEN doc_id % 5 = 0 THEN 2047 ELSE 2048 END AS height FROM documents) SELECT doc_id, t.i AS tile, t.x AS \"left\", t.y AS top, t.x + 512 AS \"right\", t.y + 512 AS bottom FROM s, (VALUES (1, 256, 256), (2, 1280, 256), (3, 256, 1280), (4, 1280, 1280)) t(i, x, y) WHERE height = 2048")
@@ -163,7 +171,28 @@ _moved("crop_multiple", 36, "(i // 6) * 8 + i % 6", lambda x: layout.crop_multip
 _moved("channels_first", 64, "i % 16 * 4 + i // 16", lambda x: layout.channels_first(x, 4))
 _moved("reorder_channels", 64, "i - i % 4 + [2, 1, 0, 3][i % 4 + 1]", lambda x: layout.reorder_channels(x, [2, 1, 0, 3]))
 _moved("side_by_side", 128, "(CASE WHEN i % 16 < 8 THEN (i // 16) * 8 + i % 8 ELSE 63 - ((i // 16) * 8 + i % 8) END)", lambda x: layout.side_by_side(x, F.reverse(x), 8))
-_moved("self_ensemble", 64, "i", lambda x: F.transform(layout.ensemble(layout.orientations(x, 8), 8), lambda v: v.cast("int")))
+
+
+def _stepped(image):
+    """A model that knows left from right: each pixel and its right neighbour, around the edge."""
+    return layout.gather(image, lambda i, _: i - i % 8 + (i + 1) % 8)
+
+
+def _summed(image):
+    return layout.let(image, lambda x: F.zip_with(x, _stepped(x), lambda a, b: a + b))
+
+
+#: Over all orientations the neighbours of the four sides count alike: four times the mean is a whole number.
+SIDES = [f"e[i // 8 * 8 + (i + {k}) % 8 + 1]" for k in (1, 7)] + [f"e[(i // 8 + {k}) % 8 * 8 + i % 8 + 1]" for k in (1, 7)]
+
+
+@query(f"WITH {V} SELECT vec_id, array_to_string(list_transform(range(0, 64), lambda i: (4 * floor(e[i + 1] * 1000) + {' + '.join(f'floor({x} * 1000)' for x in SIDES)})::INT), ',') AS image FROM v")
+def self_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000).cast("int"))
+    turned = F.transform(layout.orientations(F.col("image"), 8), _summed)
+    found = table(spark, sf_dir, "embeddings").select("vec_id", image.alias("image")).select("vec_id", layout.ensemble(turned, 8).alias("mean"))
+    return found.select("vec_id", F.array_join(F.transform("mean", lambda x: F.round(x * 4).cast("int").cast("string")), ",").alias("image"))
+
 
 
 MEAN, DEV = "list_sum(list_transform({0}, lambda x: x::DECIMAL(28,12)))::DOUBLE / 64", "sqrt(list_sum(list_transform({0}, lambda x: ((x - {1}) * (x - {1}))::DECIMAL(28,12)))::DOUBLE / 63 + 1e-5::DOUBLE)"

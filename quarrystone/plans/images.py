@@ -61,6 +61,9 @@ def artifact_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _images(spark, sf_dir).select("image_id", score("a", "b").alias("weights"))
 
 
+#: Dictionary entries a label.
+ENTRIES = 8
+
 CLIP_LINES = "l AS (SELECT user_id, printf('%03d %d (%d,%d,3)', user_id, count(*), 720, 1280) AS value FROM events GROUP BY user_id)"
 
 
@@ -76,9 +79,9 @@ def parse_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.parse_log(lines, r"view: iter ([\d,]+), loss (\S+)")
 
 
-@query("SELECT lpad(r.range::VARCHAR, 8, '0') || '.png' AS key FROM range(0, 70000) r")
+@query("SELECT vec_id, lpad(vec_id::VARCHAR, 8, '0') || '.png' AS key FROM embeddings")
 def synthetic_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.synthetic_keys(spark, 70_000)
+    return table(spark, sf_dir, "embeddings").select("vec_id", files.synthetic_key(F.col("vec_id")).alias("key"))
 
 
 @query(
@@ -87,14 +90,14 @@ s AS (SELECT q.vec_id, i.range::INT AS i, ids[i.range] AS near, round(list_sum(l
 SELECT vec_id, t.n * -1 AS near, t.s AS score FROM (SELECT vec_id, max({'s': score, 'n': -near}) AS t FROM s GROUP BY vec_id)"""
 )
 def nearest_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector against the dictionary of its label: 8 entries, the label's first vectors."""
+    """Each vector against the dictionary of its label: ENTRIES of them, the label's first vectors."""
     from pyspark.sql import Window
 
     from quarrystone.functions import arrays
 
     v = table(spark, sf_dir, "embeddings")
-    # 10 labels x 8 entries: the dictionary's size is a parameter, and it is broadcast
-    entries = v.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("r <= 8").select("label", F.col("vec_id").alias("near"), F.col("embedding").alias("d"))
+    # labels x ENTRIES: the dictionary's size is a parameter, and it is broadcast
+    entries = v.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where(F.col("r") <= ENTRIES).select("label", F.col("vec_id").alias("near"), F.col("embedding").alias("d"))
     scored = v.join(F.broadcast(entries), "label").select("vec_id", F.struct(F.round(arrays.pair_sum(F.col("embedding"), F.col("d"), lambda x, y: x * y), 7).alias("s"), (-F.col("near")).alias("n")).alias("t"))
     return scored.groupBy("vec_id").agg(F.max("t").alias("t")).select("vec_id", (-F.col("t.n")).alias("near"), F.col("t.s").alias("score"))
 

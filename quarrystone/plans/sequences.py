@@ -55,10 +55,11 @@ def neighbor_stride(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("frames", F.array_join(F.transform("frames", lambda x: x.cast("string")), ","))
 
 
-@query("SELECT 2 * f.range + 1 AS frames, array_to_string(list_transform(range(0, 2 * f.range + 1), lambda i: i + (9 - (2 * f.range + 1)) // 2), ',') AS numbers FROM range(0, 4) f")
+@query("WITH n AS (SELECT conv_id, 1 + 2 * (count(*) % 4) AS frames FROM conversations GROUP BY conv_id) SELECT conv_id, frames, array_to_string(list_transform(range(0, frames), lambda i: i + (9 - frames) // 2), ',') AS numbers FROM n")
 def centred_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(n, ",".join(map(str, sequence.centred_list(n)))) for n in (1, 3, 5, 7)]
-    return spark.createDataFrame(rows, "frames long, numbers string")
+    """1, 3, 5 or 7 frames around the centre, as many as a conversation's turns say."""
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg((1 + 2 * (F.count("*") % 4)).alias("frames"))
+    return rows.select("conv_id", "frames", F.array_join(F.transform(sequence.centred_frames(F.col("frames")), lambda x: x.cast("string")), ",").alias("numbers"))
 
 
 @query("WITH s AS (SELECT conv_id, list(length(text)::INT ORDER BY turn) AS v FROM conversations GROUP BY conv_id) SELECT conv_id, array_to_string(list_concat(v, list_reverse(v)), ',') AS flipped FROM s")

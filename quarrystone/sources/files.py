@@ -82,8 +82,13 @@ def parse_keys(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(F.split(column, r"\.")[0].alias("key"))
 
 
+def synthetic_key(number: Column) -> Column:
+    """The key that a store without a list of keys gives to its n-th image."""
+    return F.format_string("%08d.png", number)
+
+
 def synthetic_keys(spark: SparkSession, n: int) -> DataFrame:
-    return spark.range(n).select(F.format_string("%08d.png", "id").alias("key"))
+    return spark.range(n).select(synthetic_key(F.col("id")).alias("key"))
 
 
 def parse_log(lines: DataFrame, pattern: str, step: bool = True, column: str = "value", step_one: bool = False) -> DataFrame:

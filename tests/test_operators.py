@@ -75,6 +75,8 @@ def test_paths(spark):
     assert one(spark, curate.path_key(F.lit("/r/a/b.c.png"), "/r")) == "a/b.c"
     got = one(spark, curate.embedding_key(F.lit("vae/128px/x/y.pt")))
     assert (got.key, got.model, got.resolution) == ("x/y", "vae", "128px")
+    got = one(spark, curate.embedding_key(F.lit("a/b/bigpx/c//64px/d.tar.pt")))
+    assert (got.key, got.model, got.resolution) == ("c/64px/d.tar", "a", "bigpx")
     for bad in ("vae/128px", "vae/128/x.pt", "128px/x/y.pt", "a/b/128px"):
         assert one(spark, curate.embedding_key(F.lit(bad))) is None
     assert one(spark, curate.after_marker(F.lit("a/cache/b/c"), "cache")) == "b/c"
@@ -98,12 +100,15 @@ def test_frame_padding_examples(spark):
 def test_smoothing_over_block_edges(spark):
     rng = random.Random(3)
     rows = [(g, k, rng.random()) for g in "ab" for k in range(23)]
-    got = {(r.g, r.pos): r.smooth for r in sequence.smoothed(spark.createDataFrame(rows, "g string, k int, v double"), ["g"], ["k"], "v", 0.8, block=5).collect()}
-    for g in "ab":
-        y = None
-        for _, k, v in sorted(r for r in rows if r[0] == g):
-            y = v if y is None else y * 0.8 + v * (1 - 0.8)
-            assert abs(got[g, k] - y) < 1e-12
+    rows += [(None, k, rng.random()) for k in range(7)]
+    for block in (2, 5, 100):  # 23 rows in blocks of 2 make blocks of blocks
+        got = {(r.g, r.pos): r.smooth for r in sequence.smoothed(spark.createDataFrame(rows, "g string, k int, v double"), ["g"], ["k"], "v", 0.8, block=block).collect()}
+        assert len(got) == len(rows)
+        for g in ("a", "b", None):
+            y = None
+            for k, v in sorted(r[1:] for r in rows if r[0] == g):
+                y = v if y is None else y * 0.8 + v * (1 - 0.8)
+                assert abs(got[g, k] - y) < 1e-12
 
 
 def test_samplers(spark):
