@@ -3,11 +3,11 @@
 Matches get positions by marking them in the text (a character that is first removed from it) and splitting: the
 lengths of the pieces are code points. Candidate strings are runs of letters, digits and + / _ = - of at least
 `least` characters. A window slides over a candidate; the counts of its characters change by one in and one out a
-step, and with them the sum of c log2 c, which gives the entropy; no window is counted anew. That is done per class
-(hex digits of one case; base32; base64: letters and digits) with a threshold for each. Base spans and plain sequences end a
-candidate; what stands before or after them is judged for itself. Allow-listed strings (UUIDs, and strings made of one
-repeated part, digits, capitals, plain words) are suppressed. A candidate whose best window passes is a span `entropy`; base
-spans always stay.
+step, and with them the sum of c log2 c, which gives the entropy; no window is counted anew. That is done per character class with a threshold for
+each: for whole candidates as mixed letters and digits, and for the runs inside them that are hexadecimal digits of one case or base32, so that
+a prefix of another class ("KEY=", "id-") takes nothing from what follows it. Base spans and plain sequences end a candidate; what stands
+before or after them is judged for itself. Allow-listed strings (UUIDs, and strings made of one repeated part, digits, capitals, plain
+words) are suppressed. What has a window that passes is a span `entropy`, unless a longer one holds it; base spans always stay.
 
 Cases: a null or empty text has no spans; repeated rows get equal results; an empty table gives an empty result;
 extra columns are ignored; positions are code points, ends exclusive.
@@ -30,6 +30,10 @@ WINDOW, LEAST = 20, 20
 #: Least entropy of a window in bits, by class: hexadecimal digits of one case; base32; mixed letters and digits.
 HEX_BITS, BASE32_BITS, MIXED_BITS = 3.0, 3.4, 3.7
 SEQUENCE = "(?i)(0123456789|abcdefghij)"
+#: Runs of one class inside candidates.
+HEX_RUNS, BASE32_RUNS = (r"([0-9A-F]{%d,})", r"([0-9a-f]{%d,})"), r"([A-Z2-7]{%d,}=*)"
+#: Counters of the characters from + to z, of five bits, as many in a long as fit.
+FIRST_CODE, PER_LONG, LONGS = 43, 12, 7
 MARK, SPARE = "\x01", "\x02"
 
 
@@ -64,34 +68,34 @@ def masked(text: Column, pattern: str, keep=_every) -> Column:
 SPAN = "array<struct<start:int,kind:string,end:int,found:string>>"
 
 
-def best_entropy(word: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits, of any window of the string, by incremental counts.
+def passes(word: Column, bits: float | Column, window: int = WINDOW) -> Column:
+    """Whether some window of the string has a Shannon entropy of so many bits at least, by incremental counts.
 
-    State: the count of each character as a map by code, and s, the sum of c log2 c; entropy is log2(w) - s / w."""
-    chars = F.split(word, "")
-    gain = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]
-    table = F.array(*[F.lit(g) for g in gain])
-    f = lambda c: F.element_at(table, c + 1)
-    codes = F.transform(chars, lambda c: F.ascii(c))
-    slots = F.array_repeat(F.lit(0), 128)
-    put = lambda counts, code, by: F.concat(F.slice(counts, 1, code), F.array(F.element_at(counts, code + 1) + by), F.slice(counts, code + 2, 128))
-    pairs = F.zip_with(codes, F.concat(F.array_repeat(F.lit(-1), window), codes), lambda new, old: F.struct(F.coalesce(new, F.lit(-1)).alias("new"), F.coalesce(old, F.lit(-1)).alias("old")))
-    pairs = F.filter(pairs, lambda p: p["new"] >= 0)
+    State: the counts of characters, five bits each in a few longs, and s, the sum of c log2 c over them; entropy is log2(w) - s / w.
+    A step moves one character in and one out. After the first window that passes, steps do nothing.
+    """
+    if not 0 < window < 32:
+        raise ValueError("a window has 1 to 31 characters")
+    gain = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)])
+    f = lambda c: F.get(gain, c)
+    most = F.lit(float(window)) * (F.lit(math.log2(window)) - bits) + 1e-9
+    long = lambda code: F.floor(code / PER_LONG).cast("int")
+    place = lambda code: (code % PER_LONG * 5).cast("int")
+    one = lambda code: F.call_function("shiftleft", F.lit(1).cast("long"), place(code))
+    count = lambda counts, code: F.call_function("shiftright", F.get(counts, long(code)), place(code)).bitwiseAND(F.lit(31).cast("long")).cast("int")
+    moves = let(F.transform(F.split(word, ""), lambda c: F.ascii(c) - FIRST_CODE), lambda codes: F.transform(codes, lambda new, i: F.struct(new.alias("new"), F.get(codes, i - window).alias("old"))))
 
     def step(acc: Column, p: Column) -> Column:
-        came = F.element_at(acc["counts"], p["new"] + 1)
-        entered = F.struct(put(acc["counts"], p["new"], 1).alias("counts"), (acc["s"] + f(came + 1) - f(came)).alias("s"))
-        gone = F.element_at(entered["counts"], p["old"] + 1)
-        full = p["old"] >= 0
-        s = F.when(full, entered["s"] + f(gone - 1) - f(gone)).otherwise(entered["s"])
+        full = p["old"].isNotNull()
+        came, gone = count(acc["counts"], p["new"]), count(acc["counts"], p["old"])
+        s = acc["s"] + f(came + 1) - f(came) + F.when(full, f(gone - 1) - f(gone)).otherwise(0.0)
+        moved = lambda v, k: v + F.when(k == long(p["new"]), one(p["new"])).otherwise(F.lit(0).cast("long")) - F.when(full & (k == long(p["old"])), one(p["old"])).otherwise(F.lit(0).cast("long"))
         n = acc["n"] + F.when(full, 0).otherwise(1)
-        counts = F.when(full, put(entered["counts"], p["old"], -1)).otherwise(entered["counts"])
-        best = F.when(n == window, F.least(acc["best"], s)).otherwise(acc["best"])
-        return F.struct(counts.alias("counts"), s.alias("s"), n.alias("n"), best.alias("best"))
+        after = F.struct(F.transform(acc["counts"], moved).alias("counts"), s.alias("s"), n.alias("n"), ((n == window) & (s <= most)).alias("done"))
+        return F.when(acc["done"] | (full & (p["new"] == p["old"])), acc).otherwise(after)
 
-    zero = F.struct(slots.alias("counts"), F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(1e9).alias("best"))
-    low = F.aggregate(pairs, zero, step, lambda acc: acc["best"])
-    return F.when(low < 1e9, F.lit(math.log2(window)) - low / window).otherwise(F.lit(0.0))
+    zero = F.struct(F.array_repeat(F.lit(0).cast("long"), LONGS).alias("counts"), F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+    return F.aggregate(moves, zero, step, lambda acc: acc["done"])
 
 
 def allowed(word: Column) -> Column:
@@ -125,15 +129,19 @@ def find_secrets(
         F.when(F.col("has_key"), spans_of(F.col("text"), ASSIGN, "assign", group2)).otherwise(none).alias("assign"),
         F.when(F.col("has_run"), spans_of(F.col("text"), ACCESS, "access")).otherwise(none).alias("access"),
         F.when(F.col("has_run"), spans_of(F.col("text"), HEX, "hex")).otherwise(none).alias("hex"),
-        F.when(F.col("has_run"), spans_of(bare, CANDIDATE % least, "entropy", lambda found: ~allowed(found))).otherwise(none).alias("candidates"),
+        F.when(F.col("has_run"), bare).alias("bare"),
     )
+    secret = lambda pattern, bits: F.when(F.col("bare").rlike(pattern % least), F.filter(spans_of(F.col("bare"), pattern % least, "entropy", lambda found: ~allowed(found)), lambda x: passes(x["found"], bits, window))).otherwise(none)
+    rows = rows.withColumns({"mixed": secret(CANDIDATE, mixed_bits), "of_class": F.concat(*[secret(p, hex_bits) for p in HEX_RUNS], secret(BASE32_RUNS, base32_bits))})
+    # of what a passing candidate holds, it alone is a span; a string of two classes counts once, the longer one
+    holds = lambda y, x: (y["start"] <= x["start"]) & (y["end"] >= x["end"])
+    larger = lambda y, x: holds(y, x) & (y["end"] - y["start"] > x["end"] - x["start"])
+    alone = F.filter(F.array_distinct("of_class"), lambda x: ~F.exists("mixed", lambda y: holds(y, x)) & ~F.exists("of_class", lambda y: larger(y, x)))
     rank = lambda x: F.when(x["kind"] == "assign", 0).when(x["kind"] == "access", 1).when(x["kind"] == "hex", 2).otherwise(3)
     order = lambda spans: F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), rank(x).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))))
     said = lambda spans: F.array_join(F.transform(order(spans), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     rows = rows.withColumn("base", F.concat("assign", "access", "hex"))
-    # classes: lower and upper hexadecimal digits, base32, then mixed letters and digits
-    needed = lambda x: F.when(x["found"].rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit(hex_bits)).when(x["found"].rlike("^[A-Z2-7]+=*$"), F.lit(base32_bits)).otherwise(F.lit(mixed_bits))
-    rows = rows.withColumn("entropy", F.filter("candidates", lambda x: best_entropy(x["found"], window) >= needed(x)))
+    rows = rows.withColumn("entropy", F.concat("mixed", alone))
     return rows.select(
         "doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")],

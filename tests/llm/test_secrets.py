@@ -29,9 +29,15 @@ def entropy(word, window=20):
 def test_entropy_against_brute_force(spark):
     rng = random.Random(6)
     words = ["".join(rng.choices(rng.choice(["ab", "0123456789abcdef", "aZ09+/_=-xyzQRST"]), k=rng.randint(1, 70))) for _ in range(60)]
-    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", secrets.best_entropy(F.col("w")).alias("h")).collect()
-    for r in rows:
-        assert abs(r.h - entropy(r.w)) < 1e-9
+    # a window passes just below the best entropy, and none just above it
+    exact = [(w, entropy(w), *(entropy(w) + d for d in (-1e-6, 1e-6)), 0.5, 3.2) for w in words]
+    rows = spark.createDataFrame(exact, "w string, h double, below double, above double, low double, mid double")
+    tests = [secrets.passes(F.col("w"), F.col(c)).alias(c) for c in ("below", "above", "low", "mid")]
+    for w, r in zip(words, rows.select("h", *tests).collect(), strict=True):
+        if len(w) < 20:
+            assert not (r.below or r.above or r.low or r.mid)
+        else:
+            assert r.below and not r.above and r.low == (r.h >= 0.5) and r.mid == (r.h >= 3.2), w
 
 
 def test_operator(spark):
@@ -74,3 +80,39 @@ def test_long_slugs_dashes_and_many_matches(spark):
     rows = [("-".join(["word"] * 200) + "-2024X9", 1, None), ("a" + "-b" * 100_000, 2, None), ("-" * 100_000, 3, None), ("aB1" * 100_000, 4, None), (many, 5, None), ("a" * 200_000 + "B", 6, None)]
     by = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert by[5].n_assign == 20_000 and by[5].spans.endswith(f"assign:{len(many) - 16}:{len(many) - 1}") and by[4].n_entropy == 0
+
+
+def test_prefixes_take_nothing_from_keys(spark):
+    rng = random.Random(8)
+    cases = {}
+    for prefix in ("KEY=", "id-", "A/", "x_", ""):
+        for n in (32, 40, 64):
+            for letters in ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+                cases[prefix, n, letters[0]] = [prefix + "".join(rng.choices(letters, k=n)) for _ in range(200)]
+    rows = [(f"see {w} here", i, None) for i, w in enumerate(w for ws in cases.values() for w in ws)]
+    by = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
+    at = 0
+    for case, words in cases.items():
+        found = 0
+        for w in words:
+            key = (4 + len(case[0]), 4 + len(w))
+            spans = [tuple(map(int, s.split(":")[1:])) for s in by[at].spans.split(",") if s]
+            # the key is covered by one span, and nothing is reported twice
+            found += sum(a <= key[0] and b >= key[1] for a, b in spans) == 1 and len(spans) == 1
+            at += 1
+        assert found >= 0.99 * len(words), (case, found)
+
+
+def test_a_megabyte_of_base64(spark):
+    import base64
+    import time
+
+    rng = random.Random(10)
+    long = base64.b64encode(rng.randbytes(750_000)).decode()
+    poor = "".join(rng.choice("aB1") for _ in range(60_000))  # no window passes
+    df = spark.createDataFrame([(long, 1, None), ("data:" + long, 2, None), (poor, 3, None)], SCHEMA).coalesce(1).cache()
+    df.count()
+    start = time.perf_counter()
+    by = {r.doc_id: r for r in secrets.find_secrets(df).collect()}
+    assert time.perf_counter() - start < 20  # two megabytes and the long failing string, session overhead included
+    assert by[1].spans == f"entropy:0:{len(long)}" and by[2].spans == f"entropy:5:{5 + len(long)}" and by[3].n_entropy == 0
