@@ -61,14 +61,13 @@ def _letters(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
         put(np.flatnonzero(kind == 1))
         marks = np.flatnonzero(kind == 2)
-        first = np.zeros(len(raw) + 1, bool)
-        first[offsets] = True
-        while len(marks):  # a run of marks takes a step for each
-            follows = mask[lead[marks] - 1] & (lead[marks] > 0) & ~first[lead[marks]]
-            if not follows.any():
-                break
-            put(marks[follows])
-            marks = marks[~follows]
+        if len(marks):
+            # what stands before a run of marks: the last code point that is no mark, in the same row
+            other = (raw & 0xC0) != 0x80
+            other[lead[marks]] = False
+            before = np.maximum.accumulate(np.where(other, np.arange(len(raw)), -1))[lead[marks]]
+            row = offsets[np.searchsorted(offsets, lead[marks], side="right") - 1]
+            put(marks[(before >= row) & mask[before]])
     return mask
 
 
@@ -153,18 +152,19 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
 
 def decode(scores: np.ndarray, first: np.ndarray, last: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
     """The best language of every word; texts are the word ranges [first, last). Texts of like length step together."""
-    out = np.zeros(len(scores), np.int8)
+    out = np.zeros(len(scores), np.int32)
     n, k = last - first, scores.shape[1]
     order = np.argsort(-n, kind="stable")
     order = order[n[order] > 0]
     lo = 0
     while lo < len(order):
-        width = max(1, min(len(order) - lo, 400_000 // int(n[order[lo]]) + 1, 512))
+        width = max(1, min(len(order) - lo, 1_600_000 // (int(n[order[lo]]) * max(k, 4)) + 1, 512))
         docs = order[lo : lo + width]
         lo += width
         steps = int(n[docs[0]])
-        back = np.zeros((steps, len(docs), k), np.int8)
-        own = np.arange(k, dtype=np.int8)
+        kind = np.int8 if k <= 127 else np.int32
+        back = np.zeros((steps, len(docs), k), kind)
+        own = np.arange(k, dtype=kind)
         live = np.searchsorted(-n[docs], -np.arange(steps), side="left")  # texts with more words than the step
         value = scores[first[docs]].astype(np.float64)
         for t in range(1, steps):

@@ -81,3 +81,38 @@ def test_texts_without_letters_are_und(spark):
     asked = [(t, i, None, None) for i, t in enumerate(["→ ✓ 😀", "5 € → 😀 12", "٣٤", "\u0301", "µ", "ＡＢ"])]
     out = {r.doc_id: r.lang_pred for r in language.predict(spark.createDataFrame(asked, SCHEMA), model).collect()}
     assert [out[k] == "und" for k in range(6)] == [True] * 4 + [False] * 2
+
+
+def test_many_languages():
+    """More languages than a byte can number, long and short texts."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for k in (128, 150, 300):
+        scores = rng.normal(0, 1, (400, k))
+        scores[:300, k - 1] += 9
+        got = language.decode(scores, np.array([0, 300, 390]), np.array([300, 390, 400]), 2.0)
+        assert set(got[:300]) == {k - 1} and got.min() >= 0 and got.max() < k
+        value = lambda path: sum(scores[i, c] for i, c in enumerate(path, 390)) - 2.0 * sum(a != b for a, b in itertools.pairwise(path))  # noqa: E731, B023
+        best = np.zeros(k)
+        for i in range(390, 400):
+            best = np.maximum(best, best.max() - 2.0) + scores[i] if i > 390 else scores[i].copy()
+        assert abs(value(got[390:]) - best.max()) < 1e-9
+
+
+def test_a_million_marks():
+    import time
+
+    import numpy as np
+
+    text = "a" + "\u0301" * 1_000_000 + " " + "\u0301" * 10 + "b"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    start = time.perf_counter()
+    mask = language._letters(raw, np.array([0, len(raw)]))
+    assert time.perf_counter() - start < 5
+    assert mask.sum() == 1 + 2_000_000 + 1 and not mask[2_000_001]
+    # a mark at the start of a row belongs to nothing, whatever ends the row before
+    two = np.frombuffer("a\u0301\u0301b".encode(), np.uint8)
+    assert language._letters(two, np.array([0, 3, len(two)])).tolist() == [True] * 3 + [False] * 2 + [True]
