@@ -81,5 +81,25 @@ def test_dense_slots_contradictions_and_spacing(spark):
     assert out[5, 3].item_words == 57 and out[5, 3].covered == 55 and out[6, 4].same_slots
 
 
+def test_items_of_one_template_are_a_class(spark):
+    names = ["Alice", "Carol", "Dave", "Erin", "Frank", "Grace", "Heidi", "Ivan", "Judy", "Mallory"]
+    make = lambda a, b, n, m: ITEM.replace("Alice", a).replace("Bob", b).replace("12", str(n)).replace("30", str(m))
+    rng = random.Random(9)
+    items = [(i, make(*rng.sample(names, 2), 40 + i, 200 + i)) for i in range(50)]
+    filler = " the of and ere thon was in. " * 3
+    docs = [(filler + make("Oscar", "Peggy", 500 + k, 900 + k) + filler, k, None) for k in range(100)] + [(filler + items[17][1] + filler, 200, None)]
+    bench = spark.createDataFrame([(t, i) for i, t in items], "text string, item_id long")
+    classes = d.item_classes(bench, "item_id", "text", 8).collect()
+    assert len(classes) == 1 and classes[0].item_id == 0 and len(classes[0].members) == 50
+    out = run(spark, docs, items)
+    assert set(out) == {(k, 0) for k in [*range(100), 200]} and {r["items"] for r in out.values()} == {50}
+    assert out[200, 0].same_slots and not any(out[k, 0].same_slots for k in range(100)) and out[3, 0].n_slots >= 5
+    # where slots repeat otherwise, the template is another one
+    other = items + [(99, make("Alice", "Bob", 30, 30))]
+    assert set(run(spark, docs[:2], other)) == {(0, 0), (1, 0)}
+    shared = run(spark, docs[:1], [(5, items[0][1]), (5, "nothing alike in the other text of this id at all")])
+    assert set(shared) == {(0, 5)}
+
+
 def test_empty(spark):
     assert run(spark, [], [(1, ITEM)]) == {} and run(spark, [("a b c", 1, None)], []) == {}
