@@ -21,8 +21,8 @@ from pyspark.sql.types import ArrayType, IntegerType
 from quarrystone.llm.common import binary_buffers, read_table, slices, small_batches, stored, text_of
 
 LEAST, MEAN_BITS, MOST = 256, 10, 16384
-#: Rows from which a group of equal documents is large, and how many large groups may be broadcast.
-LARGE, MOST_LARGE = 1000, 1000
+#: Rows from which a group of equal documents is large; how many of the largest are broadcast, and the longest recipe that one of them may have.
+LARGE, MOST_LARGE, LONGEST = 1000, 1000, 4096
 
 
 def cut_points(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -88,16 +88,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     recipes = stored(recipes.select("doc_id", "sha", "recipe", F.xxhash64("recipe").alias("h")), "recipes")
     groups = recipes.groupBy("recipe").agg(F.max("doc_id").alias("top"), F.count("*").alias("n")).where("n > 1")
     groups = stored(groups.select(F.col("recipe").alias("same"), F.xxhash64("recipe").alias("g"), "top", "n"), "groups")
-    # rows of large groups, which may be a third of all, meet their group's row in their own task; there is room for a bounded number
-    large = groups.where(F.col("n") > LARGE)
-    few = large.limit(MOST_LARGE + 1).count() <= MOST_LARGE
+    # rows of the largest groups, which may be a third of all, meet their group's row in their own task: at most MOST_LARGE recipes of LONGEST
+    # identifiers, some 64 MB. What is left are groups of less rows than those, or of texts of megabytes; adaptive execution splits them.
+    large = groups.where((F.col("n") > LARGE) & (F.size("same") <= LONGEST)).orderBy(F.desc("n"), "g").limit(MOST_LARGE)
     match = (F.col("h") == F.col("g")) & (F.col("recipe") == F.col("same"))
-    if few:
-        met = recipes.join(F.broadcast(large), match, "left")
-        rest = met.where("n is null").select(*recipes.columns).join(groups.where(F.col("n") <= LARGE), match, "left")
-        joined = met.where("n is not null").unionByName(rest)
-    else:
-        joined = recipes.join(groups, match, "left")
+    met = recipes.join(F.broadcast(stored(large, "large")), match, "left")
+    rest = met.where("n is null").select(*recipes.columns).join(groups, match, "left")
+    joined = met.where("n is not null").unionByName(rest)
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("top"))
     return joined.select(
         "doc_id",
