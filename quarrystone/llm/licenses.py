@@ -1,10 +1,13 @@
 """License scans with a positional rare-token index. DataFrame functions only.
 
-Words are runs of lower-case letters and digits (and anything beyond ASCII). The licence words of the templates get inverse
-document frequencies over all documents. Each template is looked up by its anchor, the word of highest IDF among its mandatory
-phrases, at any frequency: each occurrence puts the template at one start, and starts are verified: every mandatory phrase
-must stand at its relative position. A verified start holds its anchor, so none is missed, in any mix of notices.
-Verified labels join those of the base phrases, which always stay.
+Words are runs of lower-case letters and digits (and anything beyond ASCII). The licence words of the templates get inverse document
+frequencies over all documents. Of a file, the licence words it holds say which templates it can be at all: those whose mandatory words it
+has every one of. For each of these the file's highest-IDF words among the template's mandatory ones are looked up: every place of such a word in the file less its
+place in the template is where the template would begin. These postings are intersected by relative position, in buckets of BUCKET words
+with some slack, so that files with words put in or left out still agree. What remains is verified: every mandatory phrase must stand near
+where the bucket has it, by TOLERANCE words and an eighth of its distance from the rarest phrase. A place that can be verified holds all of the
+looked-up words there, so none is missed, in any mix of notices. Verified labels join those of the base phrases, which always stay.
+The score is the largest share of a verified template's words that stand in its stretch of the file.
 
 Cases: a null or empty text has no words and no labels; repeated rows get equal results; an empty table gives an
 empty result; extra columns are ignored; whole texts are read.
@@ -21,7 +24,11 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Phrases and labels of the base search.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: (label, text, mandatory phrases): short notices that stand in files.
+#: Words looked up for a template, width of a bucket of starts, and words by which a phrase may stand elsewhere.
+LOOKUPS, BUCKET, TOLERANCE = 3, 8, 8
+#: Distance between a looked-up word's phrase and the rarest one's, in words, and buckets by which its starts may then differ.
+NEAR, SLACK = 64, 2
+#: Fixed values: (label, text, mandatory phrases) of notices that stand in files, and of whole licences; lower case, words only.
 TEMPLATES = [
     ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ["gnu general public license version 3"]),
     ("gpl-3.0", "it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["gnu general public license", "free software foundation", "version 3 of the license"]),
@@ -35,6 +42,34 @@ TEMPLATES = [
     ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0"]),
     ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms", "the following conditions are met"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["permission to use copy modify and or distribute this software"]),
+    ("lgpl-3.0", "gnu lesser general public license version 3", ["gnu lesser general public license version 3"]),
+    ("lgpl-2.1", "it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version", ["gnu lesser general public license", "version 2 1 of the license"]),
+    ("agpl-3.0", "it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", ["gnu affero general public license", "version 3 of the license"]),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        ["permission is hereby granted free of charge", "this permission notice shall be included in all copies", "the software is provided as is without warranty of any kind"],
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        ["distribute this software for any purpose with or without fee", "this permission notice appear in all copies", "the author disclaims all warranties with regard to this software"],
+    ),
+    (
+        "bsd-3-clause",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+        ["redistribution and use in source and binary forms", "redistributions of source code must retain the above copyright notice", "endorse or promote products derived from this software without specific prior written permission"],
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software",
+        ["without any express or implied warranty", "permission is granted to anyone to use this software for any purpose", "the origin of this software must not be misrepresented"],
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        ["free and unencumbered software released into the public domain", "anyone is free to copy modify publish use compile sell or distribute this software"],
+    ),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license v 2 0"]),
 ]
 
@@ -76,15 +111,15 @@ def _places(joined: Column, phrase: str) -> Column:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     frequency = idf(docs, text_col, templates)
-    anchors = _anchors(frequency, templates)
+    index = _index_of(frequency, templates)
     rows = docs.select(F.col(id_col).alias("doc_id"), _words(text_of(text_col)).alias("words"))
-    rows = rows.select("doc_id", "words", F.arrays_overlap("words", _strings(sorted({w for w, _ in anchors.values()}))).alias("present"))
+    rows = rows.select("doc_id", "words", F.arrays_overlap("words", _strings(sorted({t["lookups"][0]["word"] for t in index}))).alias("present"))
     joined = F.when(F.exists("words", lambda w: w.isin(*sorted({p.split(" ")[0] for p in PHRASES}))), F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).otherwise(F.lit(" "))
     rows = rows.select("doc_id", "words", "present", joined.alias("joined"))
     rows = rows.select("doc_id", "words", "present", *[_places(F.col("joined"), p).alias(f"p{k}") for k, p in enumerate(PHRASES)])
     places = F.concat(*[f"p{k}" for k in range(len(PHRASES))])
     labels = F.filter(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())]), lambda x: x.isNotNull())
-    found = F.when(F.col("present"), _matches(F.col("words"), templates, anchors)).otherwise(F.array().cast("array<struct<label:string,share:double>>"))
+    found = F.when(F.col("present"), _matches(F.col("words"), index)).otherwise(F.array().cast("array<struct<label:string,share:double>>"))
     rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), places.alias("places"), labels.alias("base"), found.alias("found"))
     joined_labels = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
     own = F.transform("found", lambda x: x["label"])
@@ -100,42 +135,81 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def _anchors(frequency: dict[str, tuple[int, int]], templates) -> dict[int, tuple[str, int]]:
-    """template -> (word, position) of its rarest mandatory word; ties by word. Templates with a word that no document holds are left out."""
-    out = {}
-    for t, (_, text, phrases) in enumerate(templates):
-        places = [(frequency[w][0], w, _index(text.split(), phrase) + k) for phrase in phrases for k, w in enumerate(phrase.split())]
-        n, word, at = min(places)
-        if n > 0:
-            out[t] = (word, at)
+def _index_of(frequency: dict[str, tuple[int, int]], templates, lookups: int = LOOKUPS) -> list[dict]:
+    """For each template that some document can be: its words, mandatory words, looked-up words with their places (rarest first, ties by word),
+    and phrases with places and tolerances. Templates with a mandatory word that no document holds are left out."""
+    out = []
+    for label, text, phrases in templates:
+        body = text.split()
+        starts = {phrase: _index(body, phrase) for phrase in phrases}
+        must = sorted({w for phrase in phrases for w in phrase.split()})
+        if any(frequency[w][0] == 0 for w in must):
+            continue
+        rarest = sorted((frequency[w][0], w, at, at + k) for phrase, at in starts.items() for k, w in enumerate(phrase.split()))
+        centre = rarest[0][2]
+        chosen: dict[str, int] = {}
+        for _, w, start, place in rarest:
+            if abs(start - centre) <= NEAR and len(chosen) < lookups:
+                chosen.setdefault(w, place)
+        parts = [{"at": at, "words": phrase.split(), "slack": TOLERANCE + abs(at - centre) // 8} for phrase, at in starts.items()]
+        # the phrase with the rarest word comes first: its place names the bucket
+        parts.sort(key=lambda x: (x["at"] != centre, x["at"]))
+        out.append({"label": label, "body": body, "must": must, "lookups": [{"word": w, "place": p} for w, p in chosen.items()], "parts": parts})
     return out
 
 
-def _matches(words: Column, templates, anchors: dict[int, tuple[str, int]]) -> Column:
-    """Verified (label, share of the template's words that stand at their place)."""
-    if not anchors:
+def _matches(words: Column, index: list[dict]) -> Column:
+    """Verified (label, share of the template's words that stand in its stretch)."""
+    if not index:
         return F.array().cast("array<struct<label:string,share:double>>")
-    # postings: anchor -> (template, position) pairs
-    texts = [text.split() for _, text, _ in templates]
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for t, (w, p) in anchors.items():
-        postings.setdefault(w, []).append((t, p))
-    table = F.create_map(*[x for w in sorted(postings) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in postings[w]]))])
-    numbered = F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
-    hits = F.filter(numbered, lambda x: x["w"].isin(*sorted(postings)))
-    starts = F.flatten(F.transform(hits, lambda x: F.transform(F.element_at(table, x["w"]), lambda q: F.struct(q["t"].alias("t"), (x["i"] - q["p"]).alias("at")))))
-    word_lists = F.array(*[_strings(text) for text in texts])
-    keys = F.array(*[F.array(*[F.struct(F.lit(_index(text, phrase)).alias("at"), _strings(phrase.split()).alias("words")) for phrase in phrases]) for text, (_, _, phrases) in zip(texts, templates, strict=True)])
-    stands = lambda s, part: F.when(s["at"] + part["at"] >= 0, F.slice(words, F.greatest(s["at"] + part["at"] + 1, F.lit(1)), F.size(part["words"])) == part["words"]).otherwise(False)
-    verified = F.filter(starts, lambda s: F.forall(F.element_at(keys, s["t"] + 1), lambda part: stands(s, part)))
-    names = F.array(*[F.lit(label) for label, *_ in templates])
-
-    def share(s: Column) -> Column:
-        text = F.element_at(word_lists, s["t"] + 1)
-        same = F.filter(F.transform(text, lambda w, p: F.try_element_at(words, F.when(s["at"] + p >= 0, s["at"] + p + 1)) == w), lambda x: x)
-        return F.size(same) / F.size(text)
-
-    return F.transform(verified, lambda s: F.struct(F.element_at(names, s["t"] + 1).alias("label"), share(s).alias("share")))
+    vocabulary = _strings(sorted({w for t in index for w in t["must"]}))
+
+    def buckets(hits: Column, word: str, place: int) -> Column:
+        """Buckets of the starts that the places of a word give."""
+        own = F.filter(hits, lambda x: x["w"] == word)
+        return F.array_distinct(F.transform(own, lambda x: F.floor((x["i"] - place) / BUCKET).cast("int")))
+
+    def wider(starts: Column) -> Column:
+        return F.flatten(F.transform(starts, lambda b: F.sequence(b - SLACK, b + SLACK)))
+
+    def stands(phrase: list[str]):
+        return lambda i: F.slice(words, i + 1, F.lit(len(phrase))) == _strings(phrase)
+
+    def verified(t: dict, b: Column) -> Column:
+        """Whether all phrases stand near where the bucket has them."""
+        first, ok = b * BUCKET, F.lit(True)
+        for part in t["parts"]:
+            size, slack = len(part["words"]), part["slack"] if part is not t["parts"][0] else 0
+            low = F.greatest(first + part["at"] - slack, F.lit(0))
+            high = F.least(first + BUCKET - 1 + part["at"] + slack, F.size(words) - size)
+            places = F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+            ok = ok & F.exists(places, stands(part["words"]))
+        return ok
+
+    def share(t: dict, b: Column) -> Column:
+        low = F.greatest(b * BUCKET - TOLERANCE, F.lit(0))
+        reach = len(t["body"]) + 2 * TOLERANCE + BUCKET + len(t["body"]) // 8
+        own = sorted(set(t["body"]))
+        return F.size(F.array_intersect(F.slice(words, low + 1, F.lit(reach)), _strings(own))) / len(own)
+
+    def of_template(t: dict, hits: Column) -> Column:
+        word, place = t["lookups"][0]["word"], t["lookups"][0]["place"]
+        agreed = buckets(hits, word, place)
+        for other in t["lookups"][1:]:
+            agreed = F.array_intersect(agreed, wider(buckets(hits, other["word"], other["place"])))
+        found = let(agreed, lambda bs: F.filter(bs, lambda b: verified(t, b)))
+        return F.transform(found, lambda b: F.struct(F.lit(t["label"]).alias("label"), share(t, b).alias("share")))
+
+    looked = sorted({x["word"] for t in index for x in t["lookups"]})
+    numbered = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x["w"].isin(*looked))
+    none = F.array().cast("array<struct<label:string,share:double>>")
+
+    def of_all(held: Column, hits: Column) -> Column:
+        # a template whose mandatory words the file doesn't all hold is passed over
+        each = [F.when(F.size(F.array_except(_strings(t["must"]), held)) == 0, of_template(t, hits)).otherwise(none) for t in index]
+        return F.flatten(F.array(*each))
+
+    return let(F.array_intersect(words, vocabulary), lambda held: let(numbered, lambda hits: of_all(held, hits)))
 
 
 def _index(text: list[str], phrase: str) -> int:
