@@ -42,9 +42,12 @@ CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TRIGGER = re.compile(r"[0-9@]")
-#: An address whose at sign or dots may be spelled out: what stands between its local part and domain, and the domain.
-AT = re.compile(r" ?[(\[{] ?at ?[)\]}] ?| at | ?@ ?", re.IGNORECASE)
-SPELLED = re.compile(r"[A-Za-z0-9-]+(?: ?(?:\.|[(\[{] ?dot ?[)\]}]| dot ) ?[A-Za-z0-9-]+)+", re.IGNORECASE)
+#: An address whose at sign or dots may be spelled out: what stands between its local part and domain (`bare` without a mark of its own), and
+#: the domain. A plain point has no blank beside it, or one on both sides after a marked sign: else the end of a sentence would be a domain.
+AT = re.compile(r" ?[(\[{] ?at ?[)\]}] ?|(?P<bare> at )| ?@ ?", re.IGNORECASE)
+DOT = r" ?[(\[{] ?dot ?[)\]}] ?| dot "
+MARKED_DOMAIN, BARE_DOMAIN = (re.compile(rf"[A-Za-z0-9-]++(?:(?:{point}|{DOT})[A-Za-z0-9-]++)*(?:{point}|{DOT})[A-Za-z]{{2,}}+(?![A-Za-z0-9-])", re.IGNORECASE) for point in (r"\.| \. ", r"\."))
+SPELLED_DOT = re.compile(DOT, re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -100,8 +103,8 @@ def _start(rng: np.random.Generator) -> dict[str, np.ndarray]:
     return {"embed": rng.normal(0, 0.5, (CHARS, EMBED)).astype(np.float32), "wx": scale(2, EMBED, 4 * HIDDEN), "wh": scale(2, HIDDEN, 4 * HIDDEN), "b": bias, "out": scale(2 * HIDDEN, LABELS), "ob": np.zeros(LABELS, np.float32), "trans": np.zeros((LABELS, LABELS), np.float32)}
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+#: tanh of half gives the sigmoid of the three gates, so that one call serves them and the candidate.
+HALF = np.repeat(np.array([0.5, 0.5, 0.5, 1.0], np.float32), HIDDEN)
 
 
 def _forward(p: dict, chars: np.ndarray, keep: bool = False):
@@ -109,43 +112,42 @@ def _forward(p: dict, chars: np.ndarray, keep: bool = False):
     n, length = chars.shape
     both = np.stack([chars, chars[:, ::-1]])
     x = p["embed"][both]
-    gates_x = x @ p["wx"][:, None] + p["b"][:, :, None]
+    gates_x = np.ascontiguousarray(((x @ p["wx"][:, None] + p["b"][:, :, None]) * HALF).transpose(2, 0, 1, 3))
+    wh = p["wh"] * HALF
     h, c = np.zeros((2, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32)
     hs, kept = np.empty((2, n, length, HIDDEN), np.float32), []
     for t in range(length):
-        z = gates_x[:, :, t] + h @ p["wh"]
-        s = _sigmoid(z[..., : 3 * HIDDEN])
-        i, f, o, g = s[..., :HIDDEN], s[..., HIDDEN : 2 * HIDDEN], s[..., 2 * HIDDEN :], np.tanh(z[..., 3 * HIDDEN :])
-        before, hidden = c, h
+        z = np.tanh(gates_x[t] + h @ wh)
+        s = z[..., : 3 * HIDDEN] * np.float32(0.5) + np.float32(0.5)
+        i, f, o, g = s[..., :HIDDEN], s[..., HIDDEN : 2 * HIDDEN], s[..., 2 * HIDDEN :], z[..., 3 * HIDDEN :]
+        before = c
         c = f * c + i * g
         tc = np.tanh(c)
         h = o * tc
         hs[:, :, t] = h
         if keep:
-            kept.append((i, f, o, g, before, tc, hidden))
+            kept.append((i, f, o, g, before, tc))
     joint = np.concatenate([hs[0], hs[1][:, ::-1]], -1)
     scores = joint @ p["out"] + p["ob"]
-    return (scores, (both, x, kept, joint)) if keep else scores
-
-
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
+    return (scores, (both, x, kept, joint, hs)) if keep else scores
 
 
 def _crf(scores: np.ndarray, trans: np.ndarray, gold: np.ndarray):
-    """Mean negative log likelihood and its gradients by scores and transitions."""
+    """Mean negative log likelihood and its gradients by scores and transitions. Messages are scaled to sum to 1 at each step."""
     n, length, k = scores.shape
-    a, b = np.empty_like(scores), np.zeros_like(scores)
-    a[:, 0] = scores[:, 0]
-    for t in range(1, length):
-        a[:, t] = _log_sum(a[:, t - 1, :, None] + trans, 1) + scores[:, t]
+    top, high = scores.max(2), float(trans.max())
+    e, move = np.exp(scores - top[:, :, None]).transpose(1, 0, 2), np.exp(trans - high)
+    a, b, c = np.empty((length, n, k), np.float32), np.ones((length, n, k), np.float32), np.empty((length, n), np.float32)
+    for t in range(length):
+        v = e[t] if t == 0 else (a[t - 1] @ move) * e[t]
+        c[t] = v.sum(1)
+        a[t] = v / c[t][:, None]
     for t in range(length - 2, -1, -1):
-        b[:, t] = _log_sum(trans + (scores[:, t + 1] + b[:, t + 1])[:, None], 2)
-    z = _log_sum(a[:, -1], 1)
-    d_scores = np.exp(a + b - z[:, None, None])
-    pairs = np.exp(a[:, :-1, :, None] + trans + (scores[:, 1:] + b[:, 1:])[:, :, None] - z[:, None, None, None])
-    d_trans = pairs.sum((0, 1))
+        b[t] = ((e[t + 1] * b[t + 1]) @ move.T) / c[t + 1][:, None]
+    z = np.log(c).sum(0) + top.sum(1) + high * (length - 1)
+    d_scores = (a * b).transpose(1, 0, 2).copy()
+    after = (e[1:] * b[1:]) / c[1:, :, None]
+    d_trans = np.einsum("tni,tnj->ij", a[:-1], after) * move
     rows, at = np.arange(n)[:, None], np.arange(length)
     d_scores[rows, at, gold] -= 1
     np.subtract.at(d_trans, (gold[:, :-1], gold[:, 1:]), 1)
@@ -154,7 +156,7 @@ def _crf(scores: np.ndarray, trans: np.ndarray, gold: np.ndarray):
 
 
 def _gradients(p: dict, chars: np.ndarray, gold: np.ndarray):
-    scores, (both, x, kept, joint) = _forward(p, chars, keep=True)
+    scores, (both, x, kept, joint, hs) = _forward(p, chars, keep=True)
     loss, d_scores, d_trans = _crf(scores, p["trans"], gold)
     d_scores = d_scores.astype(np.float32)
     grad = {"trans": d_trans, "ob": d_scores.sum((0, 1)), "out": np.tensordot(joint, d_scores, ((0, 1), (0, 1)))}
@@ -162,16 +164,16 @@ def _gradients(p: dict, chars: np.ndarray, gold: np.ndarray):
     d_h_all = np.stack([d_joint[..., :HIDDEN], d_joint[:, ::-1, HIDDEN:]])
     n, length = chars.shape
     d_h, d_c = np.zeros((2, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32)
-    d_z_all, d_wh = np.empty((2, n, length, 4 * HIDDEN), np.float32), np.zeros_like(p["wh"])
+    d_z_all, back = np.empty((2, n, length, 4 * HIDDEN), np.float32), np.ascontiguousarray(p["wh"].transpose(0, 2, 1))
     for t in range(length - 1, -1, -1):
-        i, f, o, g, before, tc, hidden = kept[t]
+        i, f, o, g, before, tc = kept[t]
         d_h = d_h + d_h_all[:, :, t]
         d_c = d_c + d_h * o * (1 - tc * tc)
         d_z = np.concatenate([d_c * g * i * (1 - i), d_c * before * f * (1 - f), d_h * tc * o * (1 - o), d_c * i * (1 - g * g)], -1)
         d_z_all[:, :, t] = d_z
-        d_wh += hidden.transpose(0, 2, 1) @ d_z
-        d_h, d_c = d_z @ p["wh"].transpose(0, 2, 1), d_c * f
-    grad["wh"] = d_wh
+        d_h, d_c = d_z @ back, d_c * f
+    # the state before a step is that after the one before it, and nothing at first
+    grad["wh"] = np.stack([np.tensordot(hs[k, :, :-1], d_z_all[k, :, 1:], ((0, 1), (0, 1))) for k in range(2)])
     grad["b"] = d_z_all.sum((1, 2))[:, None]
     grad["wx"] = np.stack([np.tensordot(x[k], d_z_all[k], ((0, 1), (0, 1))) for k in range(2)])
     d_embed = np.zeros_like(p["embed"])
@@ -213,9 +215,15 @@ def _entity(rng: random.Random, kind: int) -> str:
     return rng.choice([f"+1 ({area}) {a}-{b}", f"+{rng.randint(20, 99)} {area} {a}{b}", f"({area}) {a}-{b}", f"{area}-{a}-{b}", f"{area}.{a}.{b}"])
 
 
+def _sentences(rng: random.Random) -> list[str]:
+    """Prose around " at " that is no address."""
+    w = lambda: _word(rng).strip(",.#!")
+    return [f"{w()} at {w()}. {w().capitalize()} {w()}", f"{w()} at {_digits(rng, 2)}.{_digits(rng, 1)} percent", f"{w()} at {w()}.{w()[:3]} {w()}", f"{w()}. {w()} at {w()}, {w()}. {w().capitalize()}"]
+
+
 def _other(rng: random.Random) -> str:
     d = functools.partial(_digits, rng)
-    return rng.choice([f"20{d(2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", f"{d(2)}.{d(2)}", f"v{d(1)}.{d(1)}.{d(1)}", d(rng.randint(1, 9)), f"{d(2)}:{d(2)}", f"#{d(6)}", "".join(rng.choice("0123456789abcdef") for _ in range(40)), f"AKIA{d(4)}XY{d(6)}", f"{d(3)},{d(3)},{d(3)}", f"@{_word(rng)}", "at the dot end"])
+    return rng.choice([f"20{d(2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", f"{d(2)}.{d(2)}", f"v{d(1)}.{d(1)}.{d(1)}", d(rng.randint(1, 9)), f"{d(2)}:{d(2)}", f"#{d(6)}", "".join(rng.choice("0123456789abcdef") for _ in range(40)), f"AKIA{d(4)}XY{d(6)}", f"{d(3)},{d(3)},{d(3)}", f"@{_word(rng)}", "at the dot end", *_sentences(rng)])
 
 
 def labelled_windows(rng: random.Random, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +252,7 @@ def labelled_windows(rng: random.Random, n: int) -> tuple[np.ndarray, np.ndarray
 
 
 @functools.lru_cache(maxsize=2)
-def trained(seed: int = 1, steps: int = 600, batch: int = 48) -> dict[str, np.ndarray]:
+def trained(seed: int = 1, steps: int = 500, batch: int = 48) -> dict[str, np.ndarray]:
     """Parameters after Adam over made-up windows; a pure function of its arguments."""
     rng, rows = np.random.default_rng(seed), random.Random(seed)
     p = _start(rng)
@@ -280,13 +288,18 @@ def viterbi(scores: np.ndarray, trans: np.ndarray, lengths: np.ndarray) -> np.nd
 
 
 def spelled(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, start and end of the at sign) of all strings of the form of an address, whatever way its signs are written."""
+    """(start, end, start and end of the at sign) of all strings of the form of an address, whatever way its signs are written.
+
+    With a bare " at " and plain points only, as in "look at example.com", a local part of letters alone is a word.
+    """
     out, end = [], 0
     for m in AT.finditer(text):
         start = m.start()
         while start > end and text[start - 1] in LOCAL:
             start -= 1
-        if start < m.start() and (domain := SPELLED.match(text, m.end())):
+        if start < m.start() and (domain := (BARE_DOMAIN if m["bare"] else MARKED_DOMAIN).match(text, m.end())):
+            if m["bare"] and not SPELLED_DOT.search(domain[0]) and text[start : m.start()].isalpha():
+                continue
             end = domain.end()
             out.append((start, end, m.start(), m.end()))
     return out
@@ -341,7 +354,7 @@ def label_stretches(p: dict, codes: list[np.ndarray]) -> list[np.ndarray]:
 def well_formed(kind: int, found: str) -> bool:
     digits = re.sub(r"[^0-9]", "", found)
     if kind == 0:
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(?:@|[(\[{] ?at ?[)\]}]| at ) ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[{] ?dot ?[)\]}]| dot ) ?[A-Za-z0-9-]+)+", found, re.IGNORECASE))
+        return [x[:2] for x in spelled(found)] == [(0, len(found))]
     if kind == 1:
         return bool(re.fullmatch(r"[0-9]{1,3}(?: ?\[?\.\]? ?[0-9]{1,3}){3}", found)) and all(int(x) <= 255 for x in re.findall("[0-9]+", found))
     if kind == 2:

@@ -79,3 +79,59 @@ def test_recall_of_spelled_out_addresses():
     for text in ("We meet at home. Then we went at noon dot", "look at this at the end. At last", "a at b"):
         s = pii.stretches(text)
         assert pii.found_spans(text, s, pii.label_stretches(p, [pii._codes(text[a:b]) for a, b in s]), []) == []
+
+
+def method_spans(text):
+    s = pii.stretches(text)
+    return pii.found_spans(text, s, pii.label_stretches(pii.trained(), [pii._codes(text[a:b]) for a, b in s]), pii.base_spans(text))
+
+
+def test_prose_around_at_gives_no_span():
+    for text in (
+        "We met at noon. Later it rained.",
+        "Sales stood at 12.5 percent.",
+        "see you at noon. look at example.com",
+        "onnthant at ntating. Eredly the of thon",
+        "er thon for at onblely. The and",
+        "She laughed at him. Then they arrived at 10.30 in the morning.",
+        "Good at maths. Bad at spelling. Born at sea. Home at last.",
+        "prices @ noon. Later they fell",
+        "He shouted at Tom. Anna left. It ended at dawn. Nobody knew.",
+    ):
+        assert method_spans(text) == [], text
+
+
+def test_precision_and_recall_by_kind():
+    """Whole spans in sentences that aren't the generator's, per kind."""
+    rng = random.Random(21)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card(n):
+        d = rng.choice("3456") + digits(n - 2)
+        return d + next(c for c in "0123456789" if pii.luhn(d + c))
+
+    def group(d, mark):
+        return mark.join(d[k : k + 4] for k in range(0, len(d), 4))
+
+    make = {
+        0: lambda: rng.choice(["max.muster", "k_lee", "info"]) + rng.choice([" (at) ", "[at]", " [AT] "]) + rng.choice(["firma", "my-shop", "uni3"]) + rng.choice([" (dot) ", "[dot]", "."]) + rng.choice(["de", "com", "org"]),
+        1: lambda: rng.choice(["[.]", " . "]).join(str(rng.randint(0, 255)) for _ in range(4)),
+        2: lambda: rng.choice([card(15), group(card(16), ".")]),
+        3: lambda: rng.choice([f"({rng.randint(100, 999)}) {rng.randint(100, 999)}-{digits(4)}", f"{rng.randint(100, 999)}-{rng.randint(100, 999)}-{digits(4)}"]),
+    }
+    frames = ["Please note: {} is what they gave us.", "Kontakt {} bitte nur morgens", "it was written as {} on the page", "We have {} and nothing else here"]
+    clean = ["On 2024-01-02 we had 1,250,300 visits.", "Version 1.2.3 of 12:30:45 is out", "order #483920 costs 12.50 or 1 200 euros", "pages 120-145 and 300-310 of volume 12", "The ratio was 3.14159 at 10.5 degrees", "room 204, floor 12, 3000 seats"]
+    asked, right, wrong = {k: 0 for k in make}, {k: 0 for k in make}, {k: 0 for k in make}
+    for _ in range(60):
+        for kind, f in make.items():
+            said = f()
+            text = rng.choice(frames).format(said) + " " + rng.choice(clean)
+            want = (kind, text.index(said), text.index(said) + len(said))
+            found = method_spans(text)
+            asked[kind] += 1
+            right[kind] += want in found
+            for x in found:
+                wrong[x[0]] += x != want
+    for kind in make:
+        assert right[kind] >= 0.9 * asked[kind], (pii.KINDS[kind], right, asked)
+        assert right[kind] >= 0.9 * (right[kind] + wrong[kind]), (pii.KINDS[kind], right, wrong)
