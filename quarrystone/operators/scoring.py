@@ -17,29 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
-from quarrystone.functions import images
+from quarrystone.functions import images, resample
 
 SCORES = "metric string, score double, run long"
 Scorer = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
 
-def cubic_weights(size_in: int, size_out: int) -> np.ndarray:
-    """(size_out, size_in) weights of cubic resizing with antialiasing, mirrored at the ends; the same as the table of `resize_weights`."""
-    scale = size_out / size_in
-    stretch = min(scale, 1.0)
-    centre = (np.arange(size_out) + 0.5) / scale - 0.5
-    reach = np.arange(-int(np.ceil(2 / stretch)) - 1, int(np.ceil(2 / stretch)) + 2)
-    at = np.floor(centre)[:, None].astype(int) + reach
-    d = np.abs(centre[:, None] - at) * stretch
-    w = np.where(d <= 1, 1.5 * d**3 - 2.5 * d**2 + 1, np.where(d <= 2, -0.5 * d**3 + 2.5 * d**2 - 4 * d + 2, 0))
-    at = at % (2 * size_in)
-    out = np.zeros((size_out, size_in))
-    np.add.at(out, (np.arange(size_out)[:, None], np.minimum(at, 2 * size_in - 1 - at)), w)
-    return out / out.sum(1, keepdims=True)
-
-
-def model_input(image: Column | str, height: Column | str, width: Column | str, side: int, channels: int = 1) -> Column:
-    """A row-major image (channels last) brought to side x side; null where it has another size than it says."""
+def model_input(image: Column | str, height: Column | str, width: Column | str, side: int, channels: int = 1, pad: str = "constant") -> Column:
+    """A row-major image (channels last) brought to side x side by cubic weights, antialiased, with `pad` (see `resample.folded`) around it; null
+    where it has another size than it says."""
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def run(pixels, tall, wide):
@@ -49,7 +35,8 @@ def model_input(image: Column | str, height: Column | str, width: Column | str,
             if x is None or pd.isna(h) or pd.isna(w) or min(h, w) < 1 or len(x) != int(h) * int(w) * channels:
                 return None
             plane = np.asarray(x, np.float64).reshape(int(h), int(w), channels)
-            return np.einsum("ah,hwc,bw->abc", cubic_weights(int(h), side), plane, cubic_weights(int(w), side), optimize=True).ravel()
+            rows, columns = (resample.axis_matrix(n, side, side / n, pad=pad) for n in plane.shape[:2])
+            return np.einsum("ah,hwc,bw->abc", rows, plane, columns, optimize=True).ravel()
 
         return pd.Series([one(*row) for row in zip(pixels, tall, wide, strict=True)], dtype=object)
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.functions import degrade, images
+from quarrystone.functions import degrade, images, resample
 from quarrystone.operators import degradation, niqe, scoring
 from quarrystone.operators.storage import shared_dir
 from quarrystone.plans.base import query, table
@@ -148,7 +148,7 @@ UNION ALL SELECT a.vec_id, 'sharpness', round(avg(abs(b.v - a.v)), 7) FROM s a J
 )
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two scorers over 8 x 8 images brought to 4 x 4, in batches of 100."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", scoring.model_input("embedding", F.lit(8), F.lit(8), 4).alias("t"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", scoring.model_input("embedding", F.lit(8), F.lit(8), 4, pad="symmetric").alias("t"))
     found = scoring.predicted(rows, "vec_id", "t", [4, 4], {"contrast": scoring.contrast, "sharpness": scoring.sharpness})
     return found.select("vec_id", "metric", F.round("score", 7).alias("score"))
 
@@ -171,3 +171,25 @@ def niqe_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _levels(spark, sf_dir, 16).withColumn("w", F.lit(32))
     blocks = niqe.block_rows(rows, "image_id", "v", "w", block=16)
     return niqe.scores(blocks, "image_id", niqe.pristine_model(blocks.where("image_id % 2 = 0")))
+
+
+def _axis_sql(n_in: int, n_out: int) -> str:
+    """(o, i, w) of lanczos3 with antialiasing, ends reflected."""
+    f, eps = n_out / n_in, resample.EPS
+    s = min(f, 1.0)
+    x = f"({s}::DOUBLE * (o / {f}::DOUBLE + {(n_in - 1) / 2}::DOUBLE - {(n_out - 1) / (2 * f)!r}::DOUBLE - p))"
+    left = f"ceil(o / {f}::DOUBLE + {(n_in - 1) / 2}::DOUBLE - {(n_out - 1) / (2 * f)!r}::DOUBLE - {3 / s!r}::DOUBLE - {eps!r}::DOUBLE)"
+    turn, taps = 2 * (n_in - 1), math.ceil(6 / s - eps)
+    value = f"CASE WHEN abs({x}) < 3 THEN (sin(pi() * {x}) * sin(pi() * {x} / 3) + {eps!r}::DOUBLE) / (pi() * pi() * {x} * {x} / 3 + {eps!r}::DOUBLE) ELSE 0 END"
+    return f"(SELECT o, least((p % {turn} + {turn}) % {turn}, {turn} - (p % {turn} + {turn}) % {turn}) AS i, sum(w) AS w FROM (SELECT o, p, {value} / sum({value}) OVER (PARTITION BY o) AS w FROM (SELECT o, {left}::INT + k AS p FROM range(0, {n_out}) a(o), range(0, {taps}) b(k))) GROUP BY ALL)"
+
+
+@query(
+    f"""WITH x AS (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding::DOUBLE[]) AS v FROM embeddings)
+SELECT vec_id, (r.o * 10 + c.o)::INT AS o, round(sum(v * r.w * c.w), 7) AS value FROM x JOIN {_axis_sql(8, 6)} r ON r.i = x.i // 8 JOIN {_axis_sql(8, 10)} c ON c.i = x.i % 8 GROUP BY ALL"""
+)
+def resize_general(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """8 x 8 images by 3/4 down and 5/4 across, by banks of filters; the SQL has weights of each axis."""
+    made = images.changed(lambda x: resample.resize(x, [0.75, 1.25], kernel="lanczos3", by_filters=True, pad="reflect"), F.transform("embedding", lambda x: x.cast("double")), width=8)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(made).alias("o", "value"))
+    return rows.select("vec_id", "o", F.round("value", 7).alias("value"))

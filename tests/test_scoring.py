@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from quarrystone.functions import arrays
+from quarrystone.functions import arrays, resample
 from quarrystone.operators import scoring
 
 
@@ -11,7 +11,7 @@ def test_weights_are_those_of_the_table(spark):
         table = np.zeros((b, a))
         for r in arrays.resize_weights(spark, a, b).collect():
             table[r.o, r.i] = r.w
-        assert np.allclose(scoring.cubic_weights(a, b), table)
+        assert np.allclose(resample.axis_matrix(a, b, b / a, pad="symmetric"), table)
 
 
 def counting(folder, name):
@@ -65,7 +65,7 @@ def test_input_and_scorers(spark):
     x = np.random.default_rng(1).random((6, 9, 3))
     df = spark.createDataFrame([(1, x.ravel().tolist(), 6, 9), (2, [1.0], 6, 9), (3, None, 1, 1), (4, [], 0, 0)], "id long, image array<double>, h int, w int")
     rows = df.select("id", scoring.model_input("image", "h", "w", 4, 3).alias("t"))
-    want = np.einsum("ah,hwc,bw->abc", scoring.cubic_weights(6, 4), x, scoring.cubic_weights(9, 4))
+    want = np.einsum("ah,hwc,bw->abc", resample.axis_matrix(6, 4, 4 / 6), x, resample.axis_matrix(9, 4, 4 / 9))
     got = {r.id: r.t for r in rows.collect()}
     assert np.allclose(got[1], want.ravel()) and [got[k] for k in (2, 3, 4)] == [None] * 3
     out = {(r.id, r.metric): r.score for r in scoring.predicted(rows, "id", "t", [4, 4, 3], {"contrast": scoring.contrast, "sharpness": scoring.sharpness}).collect()}
