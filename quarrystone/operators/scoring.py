@@ -23,9 +23,9 @@ SCORES = "metric string, score double, run long"
 Scorer = Callable[[], Callable[[np.ndarray], np.ndarray]]
 
 
-def model_input(image: Column | str, height: Column | str, width: Column | str, side: int, channels: int = 1, pad: str = "constant") -> Column:
+def model_input(image: Column | str, height: Column | str, width: Column | str, side: int, channels: int = 1, pad: str = "constant", eight_bit: bool = False) -> Column:
     """A row-major image (channels last) brought to side x side by cubic weights, antialiased, with `pad` (see `resample.folded`) around it; null
-    where it has another size than it says."""
+    where it has another size than it says. Images of 0..255 that models get as 8-bit images (`eight_bit`) are cut to whole levels and divided by 255."""
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def run(pixels, tall, wide):
@@ -36,7 +36,8 @@ def model_input(image: Column | str, height: Column | str, width: Column | str,
                 return None
             plane = np.asarray(x, np.float64).reshape(int(h), int(w), channels)
             rows, columns = (resample.axis_matrix(n, side, side / n, pad=pad) for n in plane.shape[:2])
-            return np.einsum("ah,hwc,bw->abc", rows, plane, columns, optimize=True).ravel()
+            small = np.einsum("ah,hwc,bw->abc", rows, plane, columns, optimize=True).ravel()
+            return np.floor(np.clip(small, 0, 255)) / 255 if eight_bit else small
 
         return pd.Series([one(*row) for row in zip(pixels, tall, wide, strict=True)], dtype=object)
 

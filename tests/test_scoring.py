@@ -62,12 +62,14 @@ def test_scores_meet_their_keys(spark):
 
 
 def test_input_and_scorers(spark):
-    x = np.random.default_rng(1).random((6, 9, 3))
+    x = np.random.default_rng(1).random((6, 9, 3)) * 300 - 20
     df = spark.createDataFrame([(1, x.ravel().tolist(), 6, 9), (2, [1.0], 6, 9), (3, None, 1, 1), (4, [], 0, 0)], "id long, image array<double>, h int, w int")
     rows = df.select("id", scoring.model_input("image", "h", "w", 4, 3).alias("t"))
     want = np.einsum("ah,hwc,bw->abc", resample.axis_matrix(6, 4, 4 / 6), x, resample.axis_matrix(9, 4, 4 / 9))
     got = {r.id: r.t for r in rows.collect()}
     assert np.allclose(got[1], want.ravel()) and [got[k] for k in (2, 3, 4)] == [None] * 3
+    levels = df.select("id", scoring.model_input(df.image, "h", "w", 4, 3, eight_bit=True).alias("t")).where("id = 1").first().t
+    assert np.allclose(np.array(levels) * 255, np.floor(np.clip(want.ravel(), 0, 255)))
     out = {(r.id, r.metric): r.score for r in scoring.predicted(rows, "id", "t", [4, 4, 3], {"contrast": scoring.contrast, "sharpness": scoring.sharpness}).collect()}
     flat = want.reshape(4, 12)
     assert np.isclose(out[1, "contrast"], want.var()) and np.isclose(out[1, "sharpness"], np.abs(np.diff(flat, axis=1)).mean())
