@@ -83,6 +83,13 @@ def gan_loss(score: Column, kind: str, real: bool, discriminator: bool = True) -
     raise ValueError(f"unknown loss {kind}")
 
 
+def multi_scale_gan_loss(scales: Column, kind: str, real: bool, discriminator: bool = True) -> Column:
+    """Mean over scales of the mean loss of each one's last layer; scales are arrays of layers, which are arrays of scores."""
+    last = lambda layers: F.element_at(layers, -1)
+    means = F.transform(scales, lambda layers: F.try_divide(exact_sum(F.transform(last(layers), lambda x: gan_loss(x.cast("double"), kind, real, discriminator))), F.size(last(layers))))
+    return F.try_divide(exact_sum(means), F.size(scales))
+
+
 def gram(features: Column, channels: int) -> Column:
     """channels x channels products of feature rows, divided by the number of values."""
     n = F.size(features)

@@ -54,3 +54,10 @@ def load(*paths: str, overrides: list[str] | None = None) -> dict:
     for one in overrides or []:
         out = overridden(out, one)
     return out
+
+
+def said(config: dict, depth: int = 1) -> str:
+    """The config as lines of text, nested parts in brackets and further in."""
+    blank = " " * (2 * depth)
+    lines = [f"{blank}{k}:[\n{said(v, depth + 1)}{blank}]\n" if isinstance(v, dict) else f"{blank}{k}: {v}\n" for k, v in config.items()]
+    return "".join(lines)

@@ -71,3 +71,35 @@ def register_sql(spark: SparkSession) -> list[str]:
 
     spark.udf.register("q_ssim", q_ssim)
     return ["q_ssim"]
+
+
+#: How many images a loss takes: its prediction alone, the target as well, or the target and weights.
+ARITY: dict[str, int] = {}
+
+
+def declare(name: str, takes: int, f: Callable) -> None:
+    """Register a loss with its arity."""
+    LOSSES.register(f, name)
+    ARITY[name] = takes
+
+
+declare("weighted_l1", 3, lambda a, b, w: arrays.weighted(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double"))), w))
+declare("mean", 1, lambda a: F.try_divide(arrays.exact_sum(a), F.size(a)))
+
+
+def evaluated(name: str, prediction: Column, target: Column | None = None, weight: Column | None = None) -> Column:
+    """A loss by name with as many arguments as it declares (two, if it says nothing); a missing one is an error."""
+    given = [x for x in (prediction, target, weight)][: ARITY.get(name, 2)]
+    if any(x is None for x in given):
+        raise ValueError(f"loss {name} takes {len(given)} columns")
+    return LOSSES.get(name)(*given)
+
+
+def metric_in_space(config: dict, prediction: Column, target: Column, spaces: dict[str, Callable[[Column], Column]]) -> Column:
+    """A metric in the space that its config names (`space`: latent by default): both sides go through that space's function first. An unknown
+    space or metric is an error, not a zero."""
+    options = dict(config)
+    space = options.pop("space", "latent")
+    if space not in spaces:
+        raise KeyError(f"no space named {space}; there are {', '.join(sorted(spaces))}")
+    return metric(options, spaces[space](prediction), spaces[space](target))

@@ -155,3 +155,22 @@ def time_stamp(at: Column) -> Column:
 
 def in_megabytes(size: Column, digits: int = 2) -> Column:
     return F.format_string(f"%.{digits}f MB", size / 1048576.0)
+
+
+def device_index(spec: Column) -> Column:
+    """struct(index, status) of a device's name: 'cuda:3', 'gpu1' and '3' name one; blanks, 'auto', 'all' and 'cpu' none; the status says what is wrong with others."""
+    text = F.trim(spec)
+    number = F.trim(F.regexp_replace(text, r"^(?i:cuda|gpu):?", ""))
+    none = text.isNull() | (text == "") | F.lower(text).isin("auto", "all", "cpu")
+    status = F.when(none, "none").when(text.contains(","), "several").when(number == "", "empty").when(~number.rlike(r"^\d+$"), "unsupported").otherwise("ok")
+    return F.struct(F.when(status == "ok", number).alias("index"), status.alias("status"))
+
+
+def device_list(specs: Column) -> Column:
+    """The different indexes of comma-separated names in order of their first mention; null if there are none. Names that are wrong are an error."""
+    parts = F.filter(F.transform(F.split(specs, ","), lambda p: F.trim(p)), lambda p: p != "")
+    found = F.transform(parts, device_index)
+    wrong = F.filter(found, lambda x: ~x["status"].isin("ok", "none"))
+    indexes = F.array_distinct(F.transform(F.filter(found, lambda x: x["status"] == "ok"), lambda x: x["index"]))
+    checked = F.when(F.size(wrong) > 0, F.raise_error(F.concat(F.lit("no device: "), specs)).cast("array<string>")).otherwise(indexes)
+    return F.when(F.size(checked) > 0, checked)

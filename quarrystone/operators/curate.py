@@ -78,14 +78,14 @@ def union_report(*stages: DataFrame) -> DataFrame:
     return out
 
 
-def filter_manifest(report: DataFrame, stage: str, max_bytes: int, max_dimension_sum: int) -> DataFrame:
-    """Complete rows of a stage within the limits, which are inclusive."""
-    need = ["stage", "width", "height", "size_bytes"]
-    if missing := [c for c in need if c not in report.columns]:
+def filter_manifest(report: DataFrame, stage: str | None = None, max_bytes: int | None = None, max_dimension_sum: int | None = None) -> DataFrame:
+    """Complete rows of a stage within the limits, which are inclusive; what is left out isn't asked for."""
+    need = ["width", "height", "size_bytes"]
+    if missing := [c for c in ([*need, "stage"] if stage is not None else need) if c not in report.columns]:
         raise ValueError(f"columns missing: {missing}")
-    rows = report.where(F.col("stage") == stage).dropna(subset=need[1:])
-    return rows.where((F.col("size_bytes") <= max_bytes) & (F.col("width") + F.col("height") <= max_dimension_sum))
-
+    rows = (report if stage is None else report.where(F.col("stage") == stage)).dropna(subset=need)
+    rows = rows if max_bytes is None else rows.where(F.col("size_bytes") <= max_bytes)
+    return rows if max_dimension_sum is None else rows.where(F.col("width") + F.col("height") <= max_dimension_sum)
 
 def deletion_plan(report: DataFrame, status: str = "status") -> DataFrame:
     """What an operator may delete by hand: a table, never an action."""
@@ -252,3 +252,36 @@ def greedy_shards(files: DataFrame, order: list[str], size: str, max_files: int,
     # files before a bucket's entry end the last shard of the bucket before
     placed = local.join(offsets, "bucket").select("pos", (F.col("local") + F.col("offset")).alias("shard"))
     return at.join(placed, "pos")
+
+
+def required_rows(rows: DataFrame, message: str) -> DataFrame:
+    """rows, or an error if there are none: for the edges of a program, as it runs a job."""
+    if rows.isEmpty():
+        raise ValueError(message)
+    return rows
+
+
+def flat_paths(rows: DataFrame, column: str, name: str = "path") -> DataFrame:
+    """A row for each text in arrays of arrays; nulls, and texts of blanks only, are no paths."""
+    others = [c for c in rows.columns if c != column]
+    return rows.select(*others, F.explode(F.flatten(F.filter(column, lambda x: x.isNotNull()))).alias(name)).where(F.col(name).isNotNull() & (F.trim(name) != ""))
+
+
+def lineage(resolution: int | Column, model_resolution: int | Column, long_side: int | Column) -> Column:
+    """What a record says of the data it was made from."""
+    parts = {"high_resolution": resolution, "model_resolution": model_resolution, "resize_long_side": long_side}
+    return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast("int").alias(k) for k, v in parts.items()])
+
+
+def latent_records(rows: DataFrame, values: str, shape: str, dataset: Column, variant: int = 0, dtype: str = "float32", params: Column | None = None) -> DataFrame:
+    """rows with `record`: version, latents, variant, dataset and storage type, and further parameters if there are some."""
+    fields = [F.lit(1).alias("version"), F.struct(F.col(shape).cast("array<int>").alias("shape"), F.col(values).cast("array<float>").alias("data")).alias("latents"), F.lit(variant).alias("variant"), dataset.alias("dataset"), F.lit(dtype).alias("storage_dtype")]
+    return rows.withColumn("record", F.struct(*fields, *([params.alias("params")] if params is not None else [])))
+
+
+def key_shape_faults(left: DataFrame, right: DataFrame, key: str, shape: str) -> DataFrame:
+    """(key, fault, left, right): keys on one side only, and common keys of different shapes, in one join."""
+    a, b = left.select(key, F.col(shape).alias("left")), right.select(key, F.col(shape).alias("right"))
+    both = a.withColumn("__l", F.lit(True)).join(b.withColumn("__r", F.lit(True)), key, "full_outer")
+    fault = F.when(F.col("__r").isNull(), "left").when(F.col("__l").isNull(), "right").when(~F.col("left").eqNullSafe(F.col("right")), "shape")
+    return both.select(key, fault.alias("fault"), "left", "right").where("fault is not null")

@@ -34,3 +34,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def small_side(df: DataFrame, limit: int = 2_000_000) -> DataFrame:
     """df with a broadcast hint if it has at most `limit` rows, else as it is."""
     return F.broadcast(df) if df.select(F.lit(1).alias("one")).limit(limit + 1).count() <= limit else df
+
+
+def archived(spark: SparkSession, path: str, stamp: str) -> str | None:
+    """Rename what is at `path` so that a run can begin anew there; the new name, or None where nothing was. Nothing is deleted."""
+    source = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(source):
+        return None
+    name = f"{path.rstrip('/')}_archived_{stamp}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(name)
+    if system.exists(target) or not system.rename(source, target):
+        raise ValueError(f"{path} can't be renamed to {name}")
+    return name

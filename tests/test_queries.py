@@ -55,6 +55,7 @@ GOLDEN = {
     "pair_pool_stream": (372, None),
     "poisson_noise": (125, 23725.8),
     "ssim": (125, 7867.64),
+    "ssim_options": (41, 897.993),
 }
 
 
