@@ -103,3 +103,9 @@ def metric_in_space(config: dict, prediction: Column, target: Column, spaces: di
     if space not in spaces:
         raise KeyError(f"no space named {space}; there are {', '.join(sorted(spaces))}")
     return metric(options, spaces[space](prediction), spaces[space](target))
+
+
+def built(config: dict, kind: Registry, *given):
+    """What a config names (`type`), called with what is given and the config's other entries."""
+    options = dict(config)
+    return kind.get(options.pop("type"))(*given, **options)

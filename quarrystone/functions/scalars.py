@@ -174,3 +174,20 @@ def device_list(specs: Column) -> Column:
     indexes = F.array_distinct(F.transform(F.filter(found, lambda x: x["status"] == "ok"), lambda x: x["index"]))
     checked = F.when(F.size(wrong) > 0, F.raise_error(F.concat(F.lit("no device: "), specs)).cast("array<string>")).otherwise(indexes)
     return F.when(F.size(checked) > 0, checked)
+
+
+def duration(seconds: Column) -> Column:
+    """'1:02:03', with days in front where there are some: '1 day, 0:00:07', '2 days, 0:00:00'. Fractions are cut off."""
+    whole = F.floor(seconds).cast("long")
+    days, rest = F.floor(whole / 86400).cast("long"), F.pmod(whole, F.lit(86400))
+    clock = F.format_string("%d:%02d:%02d", F.floor(rest / 3600).cast("long"), F.floor(rest % 3600 / 60).cast("long"), (rest % 60).cast("long"))
+    return F.when(days == 0, clock).otherwise(F.concat(days.cast("string"), F.when(F.abs(days) == 1, " day, ").otherwise(" days, "), clock))
+
+
+def step_message(name: Column, epoch: Column, step: Column, rates: Column, values: dict[str, Column], eta: Column | None = None, times: tuple[Column, Column] | None = None) -> Column:
+    """A line of a training log: experiment, epoch, step, learning rates, time left and taken if known, and values. Exact halves of the last digit go up."""
+    head = F.format_string("[%s..][epoch:%3d, step:%,8d, lr:(%s)] ", F.substring(name, 1, 5), epoch, step, F.array_join(F.transform(rates, lambda r: F.format_string("%.3e,", r)), ""))
+    parts = [head]
+    if eta is not None and times is not None:
+        parts.append(F.concat(F.lit("[eta: "), duration(eta), F.format_string(", time (data): %.3f (%.3f)] ", *times)))
+    return F.concat(*parts, *[F.format_string(f"{k}: %.4e ", v) for k, v in values.items()])

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrystone.functions import arrays, layout, scalars
-from quarrystone.operators import curate, fidelity
+from quarrystone.functions import arrays, layout, registry, scalars
+from quarrystone.operators import curate, fidelity, named
 from quarrystone.plans.base import query, table
 from quarrystone.plans.quality import _colour
 
@@ -105,3 +105,29 @@ def latent_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = curate.latent_records(rows, "embedding", "shape", curate.lineage(256, 128, F.col("label")), params=F.create_map(F.lit("seed"), F.col("vec_id").cast("string")))
     r = F.col("record")
     return made.select("vec_id", r["version"].alias("version"), F.array_join(F.transform(r["latents"]["shape"], lambda x: x.cast("string")), ",").alias("shape"), F.round(arrays.exact_sum(r["latents"]["data"]), 6).alias("total"), r["dataset"]["high_resolution"].alias("high_resolution"), r["dataset"]["model_resolution"].alias("model_resolution"), r["dataset"]["resize_long_side"].alias("resize_long_side"), r["storage_dtype"].alias("storage_dtype"), F.concat(F.lit("seed="), r["params"]["seed"]).alias("params"))
+
+
+@query(
+    "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS a, list_reverse(embedding::DOUBLE[]) AS b, embedding[64]::DOUBLE AS last FROM embeddings), d AS (SELECT *, list_transform(range(1, 65), lambda i: a[i] - b[i]) AS d FROM v) SELECT vec_id, round(10 * log10(65025 / (list_sum(list_transform(d, lambda x: (x * x)::DECIMAL(28,12)))::DOUBLE / 64)), 5) AS psnr, round(0.5 * list_sum(list_transform(d, lambda x: abs(x)::DECIMAL(28,12)))::DOUBLE / 64 + 2 * list_sum(list_transform(d, lambda x: (x * x)::DECIMAL(28,12)))::DOUBLE / 64, 7) AS loss, round((last - 0.5) / 0.25, 6) AS value FROM d"
+)
+def configured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric, losses and dataset as configs name them, through the registries."""
+    a, b = F.transform("embedding", lambda x: x.cast("double")), F.reverse(F.transform("embedding", lambda x: x.cast("double")))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", a.alias("a"), b.alias("b"), F.lit(8).alias("h"), F.lit(8).alias("w"))
+    made = registry.built({"type": "single_images", "mean": [0.5], "std": [0.25], "unit": 1.0}, named.OPERATORS, rows, "a", "h", "w", 1)
+    score = registry.metric({"type": "psnr"}, F.col("a"), F.col("b"))
+    loss = registry.weighted_losses([{"type": "l1", "weight": 0.5}, {"type": "mse", "weight": 2}], F.col("a"), F.col("b"))
+    return made.select("vec_id", F.round(score, 5).alias("psnr"), F.round(loss, 7).alias("loss"), F.round(F.element_at("lq", -1), 6).alias("value"))
+
+
+@query(
+    """WITH e AS (SELECT event_id, event_id // 1000 AS epoch, value, 1e-4::DOUBLE / (1 + event_id // 1000) AS lr, event_id * 37 % 400000 AS left_s FROM events)
+SELECT event_id, '[basel..][epoch:' || lpad(epoch::VARCHAR, 3, ' ') || ', step:' || lpad(format('{:,}', event_id), 8, ' ') || ', lr:(' || printf('%.3e,', lr) || printf('%.3e,', lr / 2) || ')] [eta: ' || CASE WHEN left_s >= 172800 THEN left_s // 86400 || ' days, ' WHEN left_s >= 86400 THEN '1 day, ' ELSE '' END
+  || printf('%d:%02d:%02d', left_s % 86400 // 3600, left_s % 3600 // 60, left_s % 60) || ', time (data): ' || printf('%.3f (%.3f)] ', event_id % 7 / 8::DOUBLE, event_id % 3 / 4::DOUBLE) || 'l_pix: ' || printf('%.4e ', (event_id % 16 + 1) / 1000::DOUBLE) AS message FROM e"""
+)
+def step_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    epoch = F.floor(k / 1000).cast("long")
+    lr = F.lit(1e-4) / (1 + epoch)
+    message = scalars.step_message(F.lit("baseline"), epoch, k, F.array(lr, lr / 2), {"l_pix": (k % 16 + 1) / 1000.0}, k * 37 % 400_000, (k % 7 / 8.0, k % 3 / 4.0))
+    return table(spark, sf_dir, "events").select("event_id", message.alias("message"))
