@@ -44,15 +44,15 @@ def pair_pool(rows: DataFrame, key: str, shards: int, size: int, seed: int) -> D
     def step(shard: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held, seen = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
         out = []
-        for batch in batches:
-            for k in sorted(batch[key]):
-                seen += 1
-                if len(held) < size:
-                    held.append(int(k))
-                else:
-                    at = xxhash.xxh64_intdigest(f"{k}:{seed}") % size
-                    out.append((shard[0], held[at], seen))
-                    held[at] = int(k)
+        # all keys that a micro-batch has for the shard, however Arrow cuts them
+        for k in sorted(k for batch in batches for k in batch[key]):
+            seen += 1
+            if len(held) < size:
+                held.append(int(k))
+            else:
+                at = xxhash.xxh64_intdigest(f"{k}:{seed}") % size
+                out.append((shard[0], held[at], seen))
+                held[at] = int(k)
         state.update((held, seen))
         yield pd.DataFrame(out, columns=["shard", "emitted", "seen"])
 

@@ -41,7 +41,7 @@ def test_against_duckdb(spark, duck, name):
     assert sorted(tuple(map(plain, r)) for r in df.select(*columns).collect()) == sorted(tuple(plain(r[i]) for i in at) for r in theirs.fetchall())
 
 
-#: Rows and sum of all numbers (six digits) of queries that SQL can't express, on the smallest tables; None: the sum hangs on how batches are cut.
+#: Rows and sum of all numbers (six digits) of queries that SQL can't express, on the smallest tables.
 GOLDEN = {
     "artifact_map": (125, 7751.93),
     "degraded_images": (41, 1.00089e06),
@@ -52,7 +52,7 @@ GOLDEN = {
     "niqe_features": (125, 9316.84),
     "niqe_scores": (31, 741.835),
     "ordered_pool_stream": (743, 366022),
-    "pair_pool_stream": (372, None),
+    "pair_pool_stream": (372, 107535),
     "poisson_noise": (125, 23725.8),
     "ssim": (125, 7867.64),
     "ssim_options": (41, 897.993),
@@ -72,5 +72,4 @@ def test_golden(spark, name):
     rows = catalogue.QUERIES[name](spark, SF).collect()
     count, value = GOLDEN[name]
     assert len(rows) == count
-    if value is not None:
-        assert sum(total(v) for r in rows for v in r) == pytest.approx(value, rel=2e-5)
+    assert sum(total(v) for r in rows for v in r) == pytest.approx(value, rel=2e-5)
