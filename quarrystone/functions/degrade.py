@@ -89,14 +89,43 @@ def _levels(x: np.ndarray) -> tuple[np.ndarray, int]:
     return x, 2 ** math.ceil(math.log2(max(len(np.unique(x)), 1)))
 
 
-def noisy(x: np.ndarray, kind: str, level: float, grey: bool, rng: np.random.Generator) -> np.ndarray:
-    """`gaussian` (level: deviation in 255ths) or `poisson` noise (level: a factor), the same in all channels if grey; clamped to [0, 1]."""
+def finished(x: np.ndarray, clip: bool = True, rounds: bool = False) -> np.ndarray:
+    """Clamped to [0, 1], rounded to 255ths (halves to even), both or neither."""
+    if rounds:
+        x = np.rint(x * 255) / 255
+    return np.clip(x, 0, 1) if clip else x
+
+
+def gaussian_cdf(size: int, matrix: np.ndarray) -> np.ndarray:
+    """(size, size): the chance that two independent normal numbers are below the centred grid's points (across, down) times the matrix."""
+    axis = np.arange(size) - size // 2
+    points = np.stack(np.broadcast_arrays(axis, axis[:, None]), -1) @ matrix
+    below = np.vectorize(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)))(points)
+    return below[..., 0] * below[..., 1]
+
+
+def image_grid(images: np.ndarray, across: int | None = None, padding: int = 2, fill: float = 0.0) -> np.ndarray:
+    """(n, h, w, c) images side by side, `across` in a row (the root of n, rounded down, by default), with a frame of padding around each."""
+    n, h, w, c = images.shape
+    if n == 1:
+        return images[0]
+    across = min(across or int(math.sqrt(n)), n)
+    down = -(-n // across)
+    out = np.full((down * (h + padding) + padding, across * (w + padding) + padding, c), fill)
+    for k, image in enumerate(images):
+        top, left = k // across * (h + padding) + padding, k % across * (w + padding) + padding
+        out[top : top + h, left : left + w] = image
+    return out
+
+
+def noisy(x: np.ndarray, kind: str, level: float, grey: bool, rng: np.random.Generator, clip: bool = True, rounds: bool = False) -> np.ndarray:
+    """`gaussian` (level: deviation in 255ths) or `poisson` noise (level: a factor), the same in all channels if grey; then `finished`."""
     if kind == "gaussian":
         noise = rng.standard_normal((*x.shape[:2], 1 if grey else x.shape[2])) * level / 255
     else:
         plain, n = _levels((x @ GREY)[:, :, None] if grey else x)
         noise = (rng.poisson(plain * n) / n - plain) * level
-    return np.clip(x + noise, 0, 1)
+    return finished(x + noise, clip, rounds)
 
 
 def _coded(plane: np.ndarray, table: np.ndarray) -> np.ndarray:

@@ -116,6 +116,22 @@ def test_noise():
     assert set(np.round((shot - flat + plain).ravel(), 9)) <= {0.0, 1.0, round(1 - 0.4 + plain, 9), round(plain - 0.4 + 1, 9), round(plain - 0.4, 9)}
 
 
+def test_finishing_cdf_and_grid():
+    x = np.array([[[-0.2, 0.5004, 1.3]]])
+    assert degrade.finished(x).ravel().tolist() == [0, 0.5004, 1] and degrade.finished(x, False).ravel().tolist() == [-0.2, 0.5004, 1.3]
+    assert np.allclose(degrade.finished(x, True, True).ravel() * 255, [0, 128, 255]) and np.allclose(degrade.finished(x, False, True).ravel() * 255, [-51, 128, 332])
+    cdf = degrade.gaussian_cdf(5, np.array([[0.5, 0.2], [0.0, 2.0]]))
+    phi = lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2)))
+    for i in range(5):
+        for j in range(5):
+            a, b = np.array([j - 2, i - 2]) @ np.array([[0.5, 0.2], [0.0, 2.0]])
+            assert abs(cdf[i, j] - phi(a) * phi(b)) < 1e-12
+    images = np.arange(5 * 2 * 3.0).reshape(5, 2, 3, 1) + 1
+    grid = degrade.image_grid(images)
+    assert grid.shape == (3 * 4 + 2, 2 * 5 + 2, 1) and np.array_equal(grid[6:8, 7:10], images[3]) and not grid[10:, 7:].any() and not grid[:2].any()
+    assert np.array_equal(degrade.image_grid(images[:1]), images[0]) and degrade.image_grid(images, 9, 0).shape == (2, 15, 1)
+
+
 def number(key, step, seed=5):
     return int(hashlib.md5(f"{key}:{seed}:{step}".encode()).hexdigest()[:8], 16) / 2**32
 
