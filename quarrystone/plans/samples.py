@@ -41,7 +41,7 @@ SELECT vec_id, k AS side, i::INT AS i, round(e[(CASE k WHEN 'gt' THEN 1 ELSE 2 E
   + CASE k WHEN 'gt' THEN 1 ELSE 2 END * (l * CASE k WHEN 'gt' THEN 2 ELSE 1 END + CASE WHEN hf THEN s - 1 - x ELSE x END) + 1], 6) AS value, 'ok' AS crop_status FROM p
 UNION ALL SELECT vec_id, 'none', NULL, NULL, 'scale_mismatch' FROM v WHERE vec_id % 7 = 0"""
 )
-def realesrgan_paired_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+def paired_patch_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 x 8 targets with inputs of every other pixel: patches of 6 and 3. Every seventh target says that it is larger than it is."""
     half = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.get("e", (F.floor(i / 4) * 16 + i % 4 * 2).cast("int")))
     rows = _vectors(spark, sf_dir).withColumns({"lq": half, "gt_width": F.when(F.col("vec_id") % 7 == 0, 9).otherwise(8)})
@@ -59,7 +59,7 @@ a AS (SELECT *, least((t + i // 10) % (2 * hh - 2), 2 * hh - 2 - (t + i // 10) %
 b AS (SELECT *, CASE WHEN tr THEN x ELSE y END AS r, CASE WHEN tr THEN y ELSE x END AS c FROM a)
 SELECT vec_id, i::INT AS i, round(e[CASE WHEN vf THEN h - 1 - r ELSE r END * w + CASE WHEN hf THEN w - 1 - c ELSE c END + 1], 6) AS value FROM b"""
 )
-def realesrgan_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+def degradation_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 x 8 and 4 x 16 images turned, extended or cut to 10 x 10. Their plans are `degradation_plan`'s."""
     even = F.col("vec_id") % 2 == 0
     rows = _vectors(spark, sf_dir).withColumns({"h": F.when(even, 8).otherwise(4), "w": F.when(even, 8).otherwise(16)})
