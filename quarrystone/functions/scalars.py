@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -184,10 +185,28 @@ def duration(seconds: Column) -> Column:
     return F.when(days == 0, clock).otherwise(F.concat(days.cast("string"), F.when(F.abs(days) == 1, " day, ").otherwise(" days, "), clock))
 
 
-def step_message(name: Column, epoch: Column, step: Column, rates: Column, values: dict[str, Column], eta: Column | None = None, times: tuple[Column, Column] | None = None) -> Column:
-    """A line of a training log: experiment, epoch, step, learning rates, time left and taken if known, and values. Exact halves of the last digit go up."""
-    head = F.format_string("[%s..][epoch:%3d, step:%,8d, lr:(%s)] ", F.substring(name, 1, 5), epoch, step, F.array_join(F.transform(rates, lambda r: F.format_string("%.3e,", r)), ""))
-    parts = [head]
+def printed(values: Column, form: str | None = None, each: str = "") -> Column:
+    """An array of doubles by one format, or each by its own, as C and Python print them: from the exact value, where format_string would
+    round the shortest decimal that stands for it."""
+
+    @F.pandas_udf("string")
+    def text(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else form % tuple(r) if form else "".join(each % x for x in r) for r in rows], dtype=object)
+
+    return text(values)
+
+
+def step_message(name: Column, epoch: Column, step: Column, rates: Column, values: dict[str, Column], eta: Column | None = None, times: tuple[Column, Column] | None = None, fixed: bool = False) -> Column:
+    """A line of a training log: experiment, epoch, step, learning rates, time left and taken if known, and values. Epoch and step fill 3 and 8
+    characters; longer ones are written whole, or, if the columns are `fixed`, lose what exceeds them, as with lpad in SQL."""
+    numbers = F.format_string("%3d", epoch), F.format_string("%,8d", step)
+    if fixed:
+        numbers = tuple(F.substring(x, 1, n) for x, n in zip(numbers, (3, 8), strict=True))
+    parts = [F.format_string("[%s..][epoch:%s, step:%s, lr:(%s)] ", F.substring(name, 1, 5), *numbers, printed(rates, each="%.3e,"))]
+    form, shown = "".join(k.replace("%", "%%") + ": %.4e " for k in values), list(values.values())
     if eta is not None and times is not None:
-        parts.append(F.concat(F.lit("[eta: "), duration(eta), F.format_string(", time (data): %.3f (%.3f)] ", *times)))
-    return F.concat(*parts, *[F.format_string(f"{k}: %.4e ", v) for k, v in values.items()])
+        parts.append(F.concat(F.lit("[eta: "), duration(eta)))
+        form, shown = ", time (data): %.3f (%.3f)] " + form, [*times, *shown]
+    if shown:
+        parts.append(printed(F.array(*[x.cast("double") for x in shown]), form))
+    return F.concat(*parts)

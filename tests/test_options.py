@@ -80,3 +80,22 @@ def test_records_paths_guards_and_folders(spark, tmp_path):
 
 def test_config_as_text():
     assert config.said({"a": 1, "b": {"c": "x", "d": {}}}) == "  a: 1\n  b:[\n    c: x\n    d:[\n    ]\n  ]\n"
+
+
+def test_step_message_as_python_prints_it(spark):
+    for epoch, step, rate in ((7, 7999, 1e-4), (3199, 3_199_999, 1e-4 / 3200), (12799, 12_799_000, 1e-4 / 12800)):
+        made = lambda **options: one(spark, scalars.step_message(F.lit("baseline"), F.lit(epoch), F.lit(step), F.array(F.lit(rate), F.lit(0.5)), {"l": F.lit(1.00005)}, **options))  # noqa: B023, E731
+        assert made() == f"[basel..][epoch:{epoch:3d}, step:{step:8,d}, lr:({rate:.3e},{0.5:.3e},)] l: {1.00005:.4e} "
+        assert made(fixed=True).startswith(f"[basel..][epoch:{f'{epoch:3d}'[:3]}, step:{f'{step:8,d}'[:8]}, lr:(")
+
+
+def test_step_messages_of_large_ids(spark, tmp_path):
+    import duckdb
+
+    from quarrystone.plans import catalogue
+
+    duckdb.sql(f"COPY (SELECT k AS event_id, 0.5::DOUBLE AS value FROM (VALUES (0), (999999), (1000000), (3199005), (6399999)) t(k)) TO '{tmp_path}/events.parquet'")
+    got = catalogue.QUERIES["step_messages"](spark, str(tmp_path)).collect()
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+        assert sorted(map(tuple, got)) == sorted(c.sql(catalogue.ORACLES["step_messages"]).fetchall())
