@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Microseconds whose waiting rows are taken together, most rows of a block of state, and rows of a key that are sorted at once.
+SPAN, BLOCK, AT_ONCE = 3_600_000_000, 20_000, 500_000
 
 
 def use_state(rows: DataFrame) -> None:
@@ -56,44 +59,98 @@ def running_means(events: DataFrame, key: str, value: str, at: str, total: int)
 
 
 class _Pool(StatefulProcessor):
+    """Waiting rows lie in state as sorted blocks of arrays, one or more an hour of their time, so state is read and written by block, not by row,
+    and an hour's rows are what a task holds at once."""
+
     def __init__(self, size: int, seed: int):
         self.size, self.seed = size, seed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at long, item long", "n long")
+        self.blocks = handle.getMapState("blocks", "span long, block long", "at array<long>, item array<long>")
         self.held = handle.getMapState("held", "slot int", "item long")
-        self.seen = handle.getValueState("seen", "n long, upto long")
+        self.seen = handle.getValueState("seen", "n long, upto long, blocks long")
+
+    def _progress(self) -> tuple[int, int, int]:
+        return self.seen.get() if self.seen.exists() else (0, -1, 0)
+
+    def _put(self, at: np.ndarray, item: np.ndarray, block: int) -> int:
+        """Store rows by span, BLOCK at most in a block; the next block's number."""
+        order = np.lexsort((item, at))
+        at, item = at[order], item[order]
+        ends = np.flatnonzero(np.diff(at // SPAN)) + 1
+        for a, b in zip([0, *ends], [*ends, len(at)], strict=True):
+            for k in range(a, b, BLOCK):
+                part = slice(k, min(k + BLOCK, b))
+                self.blocks.updateValue((int(at[k]) // SPAN, block), (at[part].tolist(), item[part].tolist()))
+                block += 1
+        # fires once the watermark is past the first row's time
+        self.handle.registerTimer(int(at[0]) // 1000)
+        return block
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, upto, block = self._progress()
+        some, count = [], 0
         for batch in rows:
-            for at, item in zip(batch["us"].tolist(), batch["item"].tolist(), strict=True):
-                if not self.waiting.containsKey((at, item)):
-                    self.waiting.updateValue((at, item), (1,))
-                # fires once the watermark is past the row's time
-                self.handle.registerTimer(at // 1000 + 1)
+            some.append((batch["us"].to_numpy(np.int64), batch["item"].to_numpy(np.int64)))
+            count += len(batch)
+            if count >= AT_ONCE:
+                block, some, count = self._put(*map(np.concatenate, zip(*some, strict=True)), block), [], 0
+        if count:
+            block = self._put(*map(np.concatenate, zip(*some, strict=True)), block)
+        self.seen.update((n, upto, block))
         yield pd.DataFrame({"shard": [], "item": [], "after": []})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        seen, upto = self.seen.get() if self.seen.exists() else (0, -1)
+        seen, upto, block = self._progress()
         limit = timerValues.getCurrentWatermarkInMs() * 1000
         if limit == upto:  # the first timer of a batch takes all rows that are due
             return
-        due = sorted(k for k in self.waiting.keys() if k[0] < limit)
-        out = []
-        for at, item in due:
-            self.waiting.removeKey((at, item))
-            if seen < self.size:
-                slot = seen
-            else:
-                slot = xxhash.xxh64_intdigest(f"{item}:{self.seed}") % self.size
-                out.append((key[0], self.held.getValue((slot,))[0], seen + 1))
-            self.held.updateValue((slot,), (item,))
-            seen += 1
-        self.seen.update((seen, limit))
-        yield pd.DataFrame(out, columns=["shard", "item", "after"])
+        held = np.full(self.size, -1, np.int64)
+        for (slot,), (item,) in self.held.iterator():
+            held[slot] = item
+        waiting: dict[int, list[int]] = {}
+        for span, number in self.blocks.keys():
+            waiting.setdefault(span, []).append(number)
+        left = None
+        for span in sorted(waiting):
+            if span * SPAN >= limit:
+                left = span
+                break
+            parts = [self.blocks.getValue((span, number)) for number in waiting[span]]
+            at, item = (np.concatenate([np.asarray(p[k], np.int64) for p in parts]) for k in (0, 1))
+            for number in waiting[span]:
+                self.blocks.removeKey((span, number))
+            order = np.lexsort((item, at))
+            at, item = at[order], item[order]
+            new = np.append(True, (np.diff(at) != 0) | (np.diff(item) != 0))  # a row that repeats counts once
+            at, item = at[new], item[new]
+            due = int(np.searchsorted(at, limit))
+            if due < len(at):
+                block = self._put(at[due:], item[due:], block)
+            yield self._taken(key[0], item[:due], held, seen)
+            seen += due
+        if left is not None:
+            self.handle.registerTimer(min(min(self.blocks.getValue((left, number))[0]) for number in waiting[left]) // 1000)
+        for slot in range(min(seen, self.size)):
+            self.held.updateValue((slot,), (int(held[slot]),))
+        self.seen.update((seen, limit, block))
+
+    def _taken(self, shard: int, item: np.ndarray, held: np.ndarray, seen: int) -> pd.DataFrame:
+        """What leaves as items come in turn; held is brought up to date. Who leaves a place is who came to it last."""
+        import xxhash
+
+        n = np.arange(seen, seen + len(item))
+        slot = np.array([k if k < self.size else xxhash.xxh64_intdigest(f"{x}:{self.seed}") % self.size for k, x in zip(n.tolist(), item.tolist(), strict=True)], np.int64)
+        order = np.argsort(slot, kind="stable")
+        by_slot, came = slot[order], item[order]
+        first = np.append(True, np.diff(by_slot) != 0)[: len(by_slot)]
+        gone = np.empty_like(item)
+        gone[order] = np.where(first, held[by_slot], np.roll(came, 1))
+        last = np.roll(first, -1)
+        held[by_slot[last]] = came[last]
+        full = n >= self.size
+        return pd.DataFrame({"shard": shard, "item": gone[full], "after": n[full] + 1})
 
     def close(self) -> None:
         pass

@@ -64,3 +64,60 @@ def test_pool_follows_the_order_of_events(spark, events):
             seen += 1
     extra = set(found[0]) ^ set(want)
     assert len(extra) <= 2  # rows in the millisecond of the limit
+
+
+class Kept:
+    """State by key in a dict; calls are counted."""
+
+    calls = 0
+
+    def __init__(self, *_):
+        self.d = {}
+
+    def called(self, out):
+        Kept.calls += 1
+        return out
+
+    containsKey = lambda self, k: self.called(k in self.d)
+    updateValue = lambda self, k, v: self.called(self.d.__setitem__(k, v))
+    getValue = lambda self, k: self.called(self.d[k])
+    removeKey = lambda self, k: self.called(self.d.pop(k))
+    keys = lambda self: list(self.d)
+    iterator = lambda self: list(self.d.items())
+    exists = lambda self: "one" in self.d
+    get = lambda self: self.getValue("one")
+    update = lambda self, v: self.updateValue("one", v)
+    getMapState = getValueState = lambda self, *_: Kept()
+
+    def registerTimer(self, at):
+        self.d[at] = self.called(True)
+
+
+def test_pool_touches_state_by_block():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    rng = random.Random(2)
+    rows = [(rng.randrange(0, 20 * online.SPAN), k) for k in range(20_000)]
+    rows += rows[:500]
+    rng.shuffle(rows)
+    pool, timers = online._Pool(8, 3), Kept()
+    pool.init(timers)
+    Kept.calls, out = 0, []
+    for limit in (7 * online.SPAN + 1000 * 999, 15 * online.SPAN, 19 * online.SPAN + 5000):
+        if rows:
+            batch = pd.DataFrame(rows, columns=["us", "item"])
+            list(pool.handleInputRows((1,), iter([batch[:7000], batch[7000:]]), None))
+        held_rows, rows = rows or held_rows, []
+        assert any(t < limit // 1000 for t in timers.d)
+        found = pool.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: limit // 1000), None)  # noqa: B023
+        out += [tuple(r) for f in found for r in f[["shard", "item", "after"]].to_numpy().tolist()]
+    held, want = {}, []
+    for seen, (_, k) in enumerate(r for r in sorted(set(held_rows)) if r[0] < limit):
+        slot = seen if seen < 8 else xxhash.xxh64_intdigest(f"{k}:3") % 8
+        if seen >= 8:
+            want.append((1, held[slot], seen + 1))
+        held[slot] = k
+    assert out == want
+    assert Kept.calls < 2000  # not several a row
