@@ -6,11 +6,19 @@ Vectors are array columns; sums are decimal where `exact`, so that results don't
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 TERM, SUM = "decimal(28,12)", "decimal(38,12)"
+#: Products of weights and values that a task makes at once.
+PRODUCTS = 1 << 17
 
 
 def exact_sum(values: Column, term=lambda x: x) -> Column:
@@ -184,10 +192,38 @@ def dct_weights(spark, n: int = 8) -> DataFrame:
 
 
 def apply_weights(vectors: DataFrame, key: str, vector: str, weights: DataFrame) -> DataFrame:
-    """(key, o, value): each vector's values, exploded, against the weights table, whose size its caller fixes."""
-    long = vectors.select(key, F.posexplode(vector).alias("i", "x"))
-    terms = long.join(F.broadcast(weights), "i")
-    return terms.groupBy(key, "o").agg(F.sum((F.col("x").cast("double") * F.col("w")).cast(TERM)).cast("double").alias("value"))
+    """(key, o, value): each vector's values against the weights table, whose size its caller fixes. Products have twelve decimals and are summed
+    exactly, a row at once; only the outputs are grouped, for keys that repeat. Values that are null are left out."""
+    terms = sorted((r["o"], r["i"], r["w"]) for r in weights.select("o", "i", F.col("w").cast("double").alias("w")).collect())
+    o, i, w = (np.array(x, t) for x, t in zip(zip(*terms, strict=True), (np.int32, np.int64, float), strict=True))
+
+    def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            for n in np.unique(lengths[lengths > 0]).tolist():
+                inside = i < n
+                if not inside.any():
+                    continue
+                outputs, starts = np.unique(o[inside], return_index=True)
+                at = np.flatnonzero(lengths == n)
+                for rows in np.array_split(at, -(-len(at) * inside.sum() // PRODUCTS)):
+                    x = lists.take(pa.array(rows)).flatten()
+                    some = x.is_valid().to_numpy(zero_copy_only=False).reshape(-1, n)[:, i[inside]]
+                    product = np.where(some, x.to_numpy(zero_copy_only=False).reshape(-1, n)[:, i[inside]] * w[inside], 0.0)
+                    if not (np.abs(product) < 1e15).all():
+                        raise ValueError("a product isn't finite, or too large for twelve exact decimals")
+                    whole = np.trunc(product)
+                    parts = [np.add.reduceat(v.astype(np.int64), starts, axis=1).ravel() for v in (whole, np.rint((product - whole) * 1e12))]
+                    none = ~np.logical_or.reduceat(some, starts, axis=1).ravel()
+                    keys = batch.column(0).take(pa.array(rows.repeat(len(outputs))))
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(np.tile(outputs, len(rows))), *[pa.array(v, mask=none) for v in parts]], [key, "o", "whole", "part"])
+
+    rows = vectors.select(key, F.col(vector).cast("array<double>").alias("v"))
+    schema = StructType([rows.schema[key], StructField("o", IntegerType()), StructField("whole", LongType()), StructField("part", LongType())])
+    sums = rows.mapInArrow(applied, schema).groupBy(key, "o").agg(F.sum("whole").alias("whole"), F.sum("part").alias("part"))
+    value = F.col("whole").cast("decimal(20,0)") + F.col("part").cast("decimal(20,0)") * F.lit(Decimal("0.000000000001"))
+    return sums.select(key, "o", value.cast("double").alias("value"))
 
 
 def grid_kernel(spark, size: int, density) -> DataFrame:

@@ -157,7 +157,8 @@ def _kernel(name: str, density: str, function):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         weights = arrays.convolution_weights(arrays.grid_kernel(spark, 21, function), 8, 8)
         rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-        return arrays.apply_weights(rows, "vec_id", "v", weights).select("vec_id", "o", F.round("value", 7).alias("value"))
+        # as DuckDB rounds: the scaled double, not its shortest decimal
+        return arrays.apply_weights(rows, "vec_id", "v", weights).select("vec_id", "o", (F.round(F.col("value") * 1e7) / 1e7).alias("value"))
 
     run.__name__ = name
     mirrored = lambda i: f"least((({i}) % 14 + 14) % 14, 14 - (({i}) % 14 + 14) % 14)"

@@ -234,3 +234,13 @@ def test_fit_square_cuts_and_reflects(spark):
     row = spark.createDataFrame([(list(range(6)),)], "v array<int>").select(layout.fit_square(F.col("v"), 3, 2, 2, 0, 1).alias("a"), layout.fit_square(F.col("v"), 3, 2, 3).alias("b"), layout.pad_multiple(F.col("v"), 3, 2, 4).alias("c")).first()
     assert row.a == [1, 2, 4, 5] and row.b == [0, 1, 2, 3, 4, 5, 0, 1, 2]
     assert row.c == [0, 1, 2, 1, 3, 4, 5, 4, 0, 1, 2, 1, 3, 4, 5, 4]
+
+
+def test_weights_are_applied_a_vector_at_once(spark):
+    weights = spark.createDataFrame([(0, 0, 0.5), (0, 2, 2.0), (3, 1, -1.0), (4, 9, 1.0)], "o int, i int, w double")
+    rows = [(1, [1.0, 2.0, 3.0]), (2, [1.0]), (3, None), (4, []), (5, [None, None, 1e-12]), (6, [1e13, None, 0.25]), (7, [1.0, 2.0, 3.0]), (7, [1.0, 1.0, 1.0])]
+    out = arrays.apply_weights(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", weights)
+    got = {(r.id, r.o): r.value for r in out.collect()}
+    assert got == {(1, 0): 6.5, (1, 3): -2.0, (2, 0): 0.5, (5, 0): 2e-12, (5, 3): None, (6, 0): 5e12 + 0.5, (6, 3): None, (7, 0): 9.0, (7, 3): -3.0}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan  # products aren't rows
